@@ -6,16 +6,25 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import query_texts as Q
-from . import substring_dedup
+from . import mixing, packing, sharding, substring_dedup, tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,10 +40,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    sizes = tables.written(mixing.with_word_count(documents, keep_text=False), "sizes")
+    mixed = mixing.mix(sizes, sizes)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
+
+
 QUERIES = {
+    "op4_sharding": op4_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
     "op8_substring_dedup": Q.OP8,
+    "op10_mixing": Q.OP10,
 }

@@ -62,7 +62,7 @@ with d as (
   select doc_id, source, len({WORDS})::bigint as size from documents
 ), by_source as (
   select source, sum(size)::bigint as source_size,
-         (array[5.0, 2.0, 1.0])[1 + (row_number() over (order by source collate "C" nulls last) - 1)::int % 3]::double as weight
+         (array[5.0, 2.0, 1.0])[1 + (row_number() over (order by source nulls last) - 1)::int % 3]::double as weight
   from d group by source
 ), level as (
   select *, 1.5::double * sum(source_size) over () as goal, 2.0::double * source_size as cap from by_source
@@ -78,6 +78,13 @@ with d as (
 ), targets as (
   select f.source, f.source_size, case when knee is null then f.cap else least(f.cap, (stop.goal - knee.c) / knee.w * f.weight) end as target
   from filled f, stop
+), taken as (
+  select d.doc_id, d.size, t.source_size, t.target,
+    case when t.source_size > 0 then floor(t.target / t.source_size)::bigint else 0 end as whole,
+    sum(d.size) over (partition by d.source order by md5('mix:' || d.doc_id), d.size rows between unbounded preceding and current row) - d.size / 2.0::double as middle
+  from d join targets t on d.source is not distinct from t.source
 )
-select 1
+select doc_id, size, source_size, target,
+       (size * (whole + case when middle < target - whole * source_size then 1 else 0 end))::bigint as taken
+from taken
 """
