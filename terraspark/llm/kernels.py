@@ -50,7 +50,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(1 << (n - 1).bit_length(), 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 x = np.full(self.n, b, dtype=U64)
                 x[0] = 1
@@ -127,7 +127,7 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, n: int | np.ndarray) ->
     return mix((sums[starts + n] - sums[starts]) * down[starts])
 
 
-def window_starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def window_starts(first: np.ndarray, n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of each window of ``n`` words that lies in one row, and the index of each row's first window."""
     counts = np.maximum(np.diff(first) - n + 1, 0)
     begin = np.zeros(len(counts) + 1, dtype=np.int64)
@@ -143,25 +143,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.n
     """
     starts, ends, first = word_bounds(raw, offsets)
     words = word_hashes(raw, starts, ends, lower=True)
-    at, begin = window_starts(first, n)
-    hashes = window_hashes(words, at, n)
-    counts = np.diff(first)
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    rows = np.repeat(np.arange(len(counts)), np.diff(begin))
-    if len(short):
-        rows = np.concatenate([rows, short])
-        hashes = np.concatenate([hashes, window_hashes(words, first[short], counts[short])])
-    out, sizes = [], np.zeros(len(counts) + 1, np.int64)
-    if len(rows):
-        # Sort rows by hash within a row: two keys, the row is the main one.
-        order = np.lexsort((hashes, rows))
-        rows, hashes = rows[order], hashes[order]
-        keep = np.ones(len(rows), dtype=bool)
-        keep[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-        rows, hashes = rows[keep], hashes[keep]
-        np.cumsum(np.bincount(rows, minlength=len(counts)), out=sizes[1:])
-        out = [hashes]
-    return (out[0] if out else np.empty(0, U64)), sizes
+    width = np.clip(np.diff(first), 1, n)
+    at, begin = window_starts(first, width)
+    hashes = window_hashes(words, at, np.repeat(width, np.diff(begin)))
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    keep = np.ones(len(hashes), dtype=bool)
+    keep[1:] = hashes[1:] != hashes[:-1]
+    keep[begin[:-1][np.diff(begin) > 0]] = True
+    sizes = np.zeros(len(begin), np.int64)
+    np.cumsum(keep, out=(sums := np.empty(len(hashes), np.int64)))
+    sizes[1:] = np.r_[0, sums][begin[1:]]
+    return hashes[keep], sizes
 
 
 def word_counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

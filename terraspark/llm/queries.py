@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import query_texts as Q
-from . import mixing, packing, sharding, substring_dedup, tables
+from . import mixing, near_dedup, packing, sharding, substring_dedup, tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -25,19 +29,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+def _kept_digest(b: pa.RecordBatch) -> pa.RecordBatch:
+    sums = []
+    for t, k in zip(b.column("text"), b.column("kept_text"), strict=True):
+        words = k.as_py().encode() if k.is_valid else b" ".join((t.as_py() or "").encode().split())
+        sums.append(hashlib.sha256(words).hexdigest())
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), b.column("n_removed"), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    def digest(batches):
-        for b in batches:
-            text, kept = b.column("text"), b.column("kept_text")
-            sums = []
-            for t, k in zip(text, kept, strict=True):
-                words = k.as_py().encode() if k.is_valid else b" ".join((t.as_py() or "").encode().split())
-                sums.append(hashlib.sha256(words).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), b.column("n_removed"), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return done.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return substring_dedup.remove_repeats(documents, then=_kept_digest, then_schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_sharding": op4_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
@@ -55,6 +58,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_dedup": Q.OP2,
     "op8_substring_dedup": Q.OP8,
     "op10_mixing": Q.OP10,
 }

@@ -21,6 +21,8 @@ time, not results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,6 +86,14 @@ def _uncut(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _in_sorted(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(values):
+        return np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x
+
+
 def _repeated(parts_table: pa.Table) -> pa.Table:
     """Answers to the blocks of one part: which of their hashes another block has too."""
     at = parts_table.column("block").to_pylist()
@@ -91,7 +101,7 @@ def _repeated(parts_table: pa.Table) -> pa.Table:
     values = np.sort(np.concatenate(each))
     twice = np.unique(values[1:][values[1:] == values[:-1]])
     part = parts_table.column("part")[0].as_py()
-    rows = [(b, np.packbits(hit).tobytes()) for b, x in zip(at, each, strict=True) if (hit := np.isin(x, twice, assume_unique=False)).any()]
+    rows = [(b, np.packbits(hit).tobytes()) for b, x in zip(at, each, strict=True) if (hit := _in_sorted(x, twice)).any()]
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "kind": pa.array([1] * len(rows), pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -135,7 +145,9 @@ def _in_block(w: _Words, at: np.ndarray, hashes: np.ndarray):
     return hashes[lead], doc[lead], start[lead], which, doc, start
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str = ""
+) -> DataFrame:
     """All columns of ``documents`` with ``n_words``, ``n_removed`` and ``kept_text``.
 
     Words of any 20-word window whose sequence also starts earlier (smaller key, or
@@ -146,13 +158,14 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     Null and empty texts have no words; texts under 20 words are never touched; a
     repeated row (same key, same text) has the same places as its twin and both are
     kept.  A null key counts as smaller than all.  Columns of the same names as the
-    three results are replaced.  An empty table gives an empty table.
+    three results are replaced.  An empty table gives an empty table.  ``then`` turns
+    each result batch into one of ``then_schema`` where it is made.
     """
     documents = documents.drop("n_words", "n_removed", "kept_text")
     stored = T.blocks(documents, text)
     total = stored.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    # At most one word in two bytes; a part holds about two million anchors of usual text.
-    parts = T.parts_for(total // 20, 1_500_000, 8)
+    # At most one word in two bytes; a part holds less than half a million anchors of usual text.
+    parts = T.parts_for(total // 20, 400_000, 8)
 
     def send_anchors(batches):
         for batch in batches:
@@ -203,10 +216,11 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                 sums = np.r_[0, np.cumsum(removed)]
                 n_removed = sums[w.first[1:]] - sums[w.first[:-1]]
                 kept = [_join(w, i, removed) if n_removed[i] else None for i in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*rows.schema.names, "n_words", "n_removed", "kept_text"])
+                out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*rows.schema.names, "n_words", "n_removed", "kept_text"])
+                yield then(out) if then else out
 
     both = T.replies_by_block(replies.unionByName(firsts))
-    return stored.select("block", "blob").join(both, "block", "left").mapInArrow(remove, out_schema)
+    return stored.select("block", "blob").join(both, "block", "left").mapInArrow(remove, then_schema or out_schema)
 
 
 def _leads(hashes, which, doc, start):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +47,7 @@ def unpack(blob: bytes) -> pa.RecordBatch:
 
 
 def blocks(df: DataFrame, text: str) -> DataFrame:
-    """``df`` as written rows ``(block, blob)``: whole rows packed to about two megabytes of text a block.
+    """``df`` as written rows ``(block, blob)``: whole rows packed to about a megabyte of text a block.
 
     A block's id is fixed once written, so later jobs can answer to a block
     whatever executors compute it.
