@@ -5,18 +5,34 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import query_texts as Q
-from . import mixing, near_dedup, packing, sharding, substring_dedup, tables
+from . import mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _judged(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    fold = samples.remainder("doc_id", 3)
+    return _judged(toxicity.score(documents, labels, fold != 1), fold == 1, toxicity.THRESHOLD)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    fold = samples.remainder("doc_id", 5)
+    return _judged(quality.score(documents, labels, fold != 0), fold == 0, quality.THRESHOLD)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,8 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
