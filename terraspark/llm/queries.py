@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import query_texts as Q
-from . import mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
+from . import bitsliced, language, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -37,10 +37,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = samples.remainder("doc_id", 4)
+    found = language.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), fold != 2)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -68,8 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_bitsliced_top_k": op3_bitsliced_top_k,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
@@ -77,6 +89,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_near_dedup": Q.OP2,
+    "op3_bitsliced_top_k": Q.OP3,
     "op8_substring_dedup": Q.OP8,
     "op10_mixing": Q.OP10,
 }
