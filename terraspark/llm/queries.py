@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import query_texts as Q
-from . import bitsliced, language, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
+from . import bitsliced, language, media, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -68,6 +69,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents, then=_kept_digest, then_schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def _media_digest(doc_id: int | None, n_bytes: int, avi: bytes) -> dict:
+    movie, frames = media.read(avi)
+    payload = media.payload_of(movie, frames)
+    return {
+        "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(avi), "media_sha256": hashlib.sha256(avi).hexdigest(), "feature": media.feature(movie, frames),
+    }
+
+
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return media.store_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), _media_digest, schema)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
     sizes = tables.written(mixing.with_word_count(documents, keep_text=False), "sizes")
@@ -84,6 +99,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_avi_media": op9_avi_media,
     "op10_mixing": op10_mixing,
 }
 
