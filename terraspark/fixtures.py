@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Select lists that Spark and DuckDB read alike.
 V_OBS = [
     "l_partkey as pixel_id",
-    "cast(floor((l_partkey-1)/50.0) as int) as r",
-    "cast((l_partkey-1)%50 as int) as c",
+    "cast(floor(l_partkey/50.0) as int) as r",
+    "cast(l_partkey%50 as int) as c",
     "cast(l_shipdate as date) as obs_date",
     "case when l_quantity=50 then 65535 else 200+cast(l_quantity*20 as int) end as b2",
     "300+cast(round(l_tax*100) as int)*150 as b4",
@@ -19,8 +19,8 @@ V_OBS = [
 ]
 V_GRID = [
     "p_partkey as pixel_id",
-    "cast(floor((p_partkey-1)/50.0) as int) as r",
-    "cast((p_partkey-1)%50 as int) as c",
+    "cast(floor(p_partkey/50.0) as int) as r",
+    "cast(p_partkey%50 as int) as c",
     "p_retailprice as elevation",
     "cast((p_partkey*7)%3 as int) as cls1",
     "case p_size%5 when 0 then 255 when 1 then 1 when 2 then 1 else 2 end as cls2",
