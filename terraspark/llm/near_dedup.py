@@ -7,14 +7,17 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
   minwise signature (its chosen tokens) and sends each class to the child of its
   value there.  The first level selects two coordinates a tree, so a pair at the
   threshold parts in all trees with probability 0.25 ** 16.
-* A node of at most ``NODE_MAX`` classes is compared exhaustively by the whole
-  signatures.  Larger ones branch on: one or two further coordinates (4/3 on
-  average, the inverse of the threshold), until they are small.  At ``DEPTH_MAX``
-  what is left is cut into blocks and every pair of blocks is compared.
-* A pair is sent on from the first coordinate that its two classes share in a small
-  node, so the sixteen chances to meet don't multiply the work.
-* Candidates are confirmed on whole sets of 64-bit shingle hashes.  Cells pair two
-  hash ranges of classes; a class is sent once to each cell where it has a candidate.
+* A node of at most ``NODE_MAX`` classes is compared exhaustively.  Larger ones branch
+  on: one or two further coordinates (4/3 on average, the inverse of the threshold),
+  until they are small.  At ``DEPTH_MAX`` what is left is cut into blocks and every
+  pair of blocks is compared.
+* In a node of up to ``PAIRS_MAX`` classes the pairs that look similar by signature
+  are candidates, each sent on from the first coordinate that its two classes share
+  in such a node.  They are confirmed on whole sets of 64-bit shingle hashes in
+  cells of two hash ranges of classes; a class is sent once to each of its cells.
+* A larger node gets the whole sets.  Its rows join groups one by one, confirmed on
+  the sets, likeliest first, and rows already in one group are not compared again:
+  whatever the number of similar pairs, a node gives fewer links than it has rows.
 * Components come from alternating star steps over the confirmed links.
 
 The signature has 256 values of 8 bits: its estimate is off by 0.027 (one standard
@@ -39,7 +42,10 @@ WORDS = 5
 TREES = 8
 PATHS = 2 * TREES
 VALUES = 256
+PAIRS_MAX = 8
 NODE_MAX = 2048
+#: Shingles of all sets in a node, at most (32 MB).
+NODE_SHINGLES = 1 << 22
 DEPTH_MAX = 12
 ESTIMATE_MIN = 0.66
 
@@ -120,13 +126,62 @@ class _Rows:
         return keep[(same - 1 / 256) / (1 - 1 / 256) >= ESTIMATE_MIN]
 
 
-def _in_nodes(table: pa.Table) -> pa.Table:
-    """Candidates of all nodes in one group of nodes."""
-    r = _Rows(table)
-    node, path, side = (table[c].to_numpy() for c in ("node", "path", "side"))
+def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of their nodes, where each node begins, and its size."""
+    node, path = table["node"].to_numpy(), table["path"].to_numpy()
     order = np.lexsort((node, path))
     cut = np.flatnonzero(np.r_[True, (node[order][1:] != node[order][:-1]) | (path[order][1:] != path[order][:-1])])
-    sizes = np.diff(np.r_[cut, len(order)])
+    return order, cut, np.diff(np.r_[cut, len(order)])
+
+
+def _linked_in_nodes(table: pa.Table) -> pa.Table:
+    """Confirmed links that join what is linked in each node of one group of nodes."""
+    ids, sizes, side = (table[c].to_numpy() for c in ("id", "n_shingles", "side"))
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+    order, cut, counts = _nodes(table)
+    u, v = [], []
+    for begin, n in zip(cut.tolist(), counts.tolist(), strict=True):
+        # Small sets first: a row's partners lie in a range of sizes.
+        rows = order[begin : begin + n]
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        group = np.arange(n)
+        low = np.searchsorted(4 * sizes[rows], 3 * sizes[rows], side="left")
+        for k in range(1, n):
+            others = np.arange(low[k], k)
+            if (s := side[rows[k]]) != 0:
+                # In a node of two blocks, only pairs across them.
+                others = others[side[rows[others]] != s]
+            same = (sigs[rows[others]] == sigs[rows[k]]).mean(axis=1)
+            near = (same - 1 / 256) / (1 - 1 / 256) >= ESTIMATE_MIN
+            others = others[near][np.argsort(-same[near], kind="stable")]
+            step = 1
+            while len(others):
+                others = others[group[others] != group[k]]
+                for j, linked in zip(others[:step].tolist(), _linked(sets[rows[k]], [sets[r] for r in rows[others[:step]]]), strict=True):
+                    if linked and group[j] != group[k]:
+                        u.append(ids[rows[k]])
+                        v.append(ids[rows[j]])
+                        group[group == group[k]] = group[j]
+                others, step = others[step:], min(2 * step, 64)
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets have 3/4 of the union in common with ``one``."""
+    if not others:
+        return np.empty(0, dtype=bool)
+    every, sizes = np.concatenate(others), np.array([len(x) for x in others])
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    inter = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * inter >= 75 * (len(one) + sizes - inter)
+
+
+def _in_nodes(table: pa.Table) -> pa.Table:
+    """Candidates of all nodes in one group of small nodes."""
+    r = _Rows(table)
+    path = table["path"].to_numpy()
+    order, cut, sizes = _nodes(table)
     a, b = [], []
 
     def add(p: int, i: np.ndarray, j: np.ndarray) -> None:
@@ -136,91 +191,91 @@ def _in_nodes(table: pa.Table) -> pa.Table:
 
     for n in np.unique(sizes).tolist():
         begins = cut[sizes == n]
-        if n <= 32:
-            # All nodes of one size and path at once.
-            x, y = np.triu_indices(n, 1)
-            for p in np.unique(path[order[begins]]).tolist():
-                rows = order[begins[path[order[begins]] == p][:, None] + np.arange(n)]
-                for k in range(0, len(rows), 1024):
-                    i, j = rows[k : k + 1024, x].ravel(), rows[k : k + 1024, y].ravel()
-                    apart = (side[i] != side[j]) | (side[i] == 0)
-                    add(p, i[apart], j[apart])
-        else:
-            for begin in begins.tolist():
-                rows = order[begin : begin + n]
-                p = int(path[rows[0]])
-                for k in range(n - 1):
-                    others = rows[k + 1 :]
-                    # In a node of two blocks, only pairs across them.
-                    others = others[(side[others] == 0) | (side[others] != side[rows[k]])]
-                    add(p, np.full(len(others), rows[k]), others)
+        # All nodes of one size and path at once.
+        x, y = np.triu_indices(n, 1)
+        for p in np.unique(path[order[begins]]).tolist():
+            rows = order[begins[path[order[begins]] == p][:, None] + np.arange(n)]
+            for k in range(0, len(rows), 1024):
+                add(p, rows[k : k + 1024, x].ravel(), rows[k : k + 1024, y].ravel())
     join = lambda z: pa.array(np.concatenate(z) if z else np.empty(0, np.int64), pa.int64())
     return pa.table({"a": join(a), "b": join(b)})
 
 
-def _compared(nodes: DataFrame, full: DataFrame, name: str, per_group: int = 20_000) -> DataFrame:
-    """Candidates of ``nodes`` (path, node, id, side), written."""
-    groups = T.parts_for(nodes.count(), per_group)
-    rows = nodes.join(full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(groups)))
-    columns = ["group", "path", "node", "id", "n_shingles", "paths", "sig", "big", "side"]
-    return T.written(rows.select(columns).groupBy("group").applyInArrow(_in_nodes, _PAIRS), name)
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of class ids that share a small node and look similar by signature."""
-    first = classes.select("id", F.posexplode("paths").alias("path", "node"))
-    counts = first.groupBy("path", "node").agg(F.count("*").alias("n")).where("n > 1")
-    # Only classes that share a node with another go on.
-    shared = T.written(first.join(counts, ["path", "node"]), "nodes")
-    big = shared.where(F.col("n") > NODE_MAX).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, path)")).alias("big"))
-    full = T.written(shared.select("id").distinct().join(classes, "id").join(big, "id", "left").withColumn("big", F.coalesce("big", F.lit(0)).cast("int")).select("id", "n_shingles", "paths", "sig", "big"), "active")
-    small = shared.where(F.col("n") <= NODE_MAX).select("path", "node", "id", F.lit(0).alias("side"))
-    found = _compared(small, full, "pairs-1")
-    large = shared.where(F.col("n") > NODE_MAX).select("id", "path", "node")
-    for depth in range(2, DEPTH_MAX + 1):
-        large = T.written(large, f"large-{depth}")
-        if large.isEmpty():
-            return found.distinct()
-        # A node selects one or two coordinates by its own name; its classes part by their values there.
-        node = F.col("node")
-        picks = F.array(
-            F.pmod(F.xxhash64(node, F.lit(depth)), F.lit(VALUES)),
-            F.when(F.pmod(F.xxhash64(node, F.lit(-depth)), F.lit(3)) == 0, F.pmod(F.xxhash64(node, F.lit(1000 + depth)), F.lit(VALUES))),
-        )
-        child = large.withColumn("pick", F.explode(F.array_compact(picks))).join(full.select("id", "sig"), "id")
-        child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(sig, int(pick) + 1, 1)"))).select("id", "path", "node").distinct()
-        counts = child.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        child = T.written(child.join(counts, "node"), f"children-{depth}")
-        small = child.where(F.col("n") <= NODE_MAX).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"))
-        found = found.union(_compared(small, full, f"pairs-{depth}"))
-        large = child.where(F.col("n") > NODE_MAX).select("id", "path", "node")
-    # The exact way for what no branching made small: blocks of each node against blocks.
-    sizes = large.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / (NODE_MAX / 2)), F.lit(1)).alias("k"))
-    dealt = large.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
-    # Side 0: a block with itself; else pairs across the two blocks only.
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
-    rest = dealt.select(F.lit(-1).alias("path"), "node", "id", side.alias("side"))
-    return found.union(_compared(rest, full, "pairs-rest", NODE_MAX)).distinct()
+class _Search:
+    """The nodes of all trees, level by level, with what each level finds."""
+
+    def __init__(self, classes: DataFrame, documents: DataFrame, key: str, text: str):
+        self.classes, self.documents, self.key, self.text = classes, documents, key, text
+        self.pairs: list[DataFrame] = []
+        self.links: list[DataFrame] = []
+
+    def whole_sets(self, ids: DataFrame) -> DataFrame:
+        """``(id, shingles)`` of the named classes."""
+        ids = ids.select(F.col("id").alias(self.key)).distinct()
+        n = ids.count()
+        needed = self.documents.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, self.key, "left_semi")
+        # A repeated row gives the same set again: any one serves.
+        return _sets(needed, self.key, self.text).dropDuplicates(["id"])
+
+    def compare(self, nodes: DataFrame, level: str) -> None:
+        """Compares the nodes (path, node, id, side, n) that are not large."""
+        for name, part, per_group in (("pairs", nodes.where(F.col("n") <= PAIRS_MAX), 20_000), ("links", nodes.where(F.col("n") > PAIRS_MAX), 2_000)):
+            count = part.count()
+            if not count:
+                continue
+            rows = part.join(self.full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(T.parts_for(count, per_group))))
+            if name == "pairs":
+                found = rows.select("group", "path", "node", "id", "n_shingles", "paths", "sig", "big").groupBy("group").applyInArrow(_in_nodes, _PAIRS)
+                self.pairs.append(T.written(found, f"pairs-{level}"))
+            else:
+                sets = T.written(self.whole_sets(part), f"sets-{level}")
+                rows = rows.select("group", "path", "node", "id", "n_shingles", "sig", "side").join(sets, "id")
+                self.links.append(T.written(rows.groupBy("group").applyInArrow(_linked_in_nodes, "u long, v long"), f"links-{level}"))
+
+    def run(self) -> None:
+        large = (F.col("n") > NODE_MAX) | (F.col("n") > PAIRS_MAX) & (F.col("shingles") > NODE_SHINGLES)
+        counted = [F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")]
+        first = self.classes.select("id", "n_shingles", F.posexplode("paths").alias("path", "node"))
+        counts = first.groupBy("path", "node").agg(*counted).where("n > 1").withColumn("large", large)
+        # Only classes that share a node with another go on.
+        shared = T.written(first.drop("n_shingles").join(counts, ["path", "node"]), "nodes")
+        # Bit p: at path p the class is not in a node of pairs.
+        big = shared.where(F.col("n") > PAIRS_MAX).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, path)")).alias("big"))
+        full = shared.select("id").distinct().join(self.classes, "id").join(big, "id", "left")
+        self.full = T.written(full.select("id", "n_shingles", "paths", "sig", F.coalesce("big", F.lit(0)).cast("int").alias("big")), "active")
+        self.compare(shared.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n"), "1")
+        rest = shared.where("large").select("id", "path", "node")
+        for depth in range(2, DEPTH_MAX + 1):
+            rest = T.written(rest, f"large-{depth}")
+            if rest.isEmpty():
+                return
+            # A node selects one or two coordinates by its own name; its classes part by their values there.
+            node = F.col("node")
+            picks = F.array(
+                F.pmod(F.xxhash64(node, F.lit(depth)), F.lit(VALUES)),
+                F.when(F.pmod(F.xxhash64(node, F.lit(-depth)), F.lit(3)) == 0, F.pmod(F.xxhash64(node, F.lit(1000 + depth)), F.lit(VALUES))),
+            )
+            child = rest.withColumn("pick", F.explode(F.array_compact(picks))).join(self.full.select("id", "sig", "n_shingles"), "id")
+            child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(sig, int(pick) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
+            counts = child.groupBy("node").agg(*counted).where("n > 1").withColumn("large", large)
+            child = T.written(child.drop("n_shingles").join(counts, "node"), f"children-{depth}")
+            self.compare(child.where(~F.col("large")).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"), "n"), str(depth))
+            rest = child.where("large").select("id", "path", "node")
+        # The exact way for what no branching made small: blocks of each node against blocks.
+        sizes = rest.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / (NODE_MAX / 2)), F.lit(1)).alias("k"))
+        dealt = rest.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+        dealt = dealt.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
+        # Side 0: a block with itself; else pairs across the two blocks only.
+        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
+        self.compare(dealt.select(F.lit(-1).alias("path"), "node", "id", side.alias("side"), F.lit(NODE_MAX).alias("n")), "rest")
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links of one cell: its candidate pairs against its classes' whole sets."""
     at = {i: k for k, i in enumerate(right["id"].to_pylist())}
     blobs = right["shingles"].combine_chunks()
-    a, b = left["a"].to_pylist(), left["b"].to_pylist()
-    keep = []
-    held: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint64))
-    for k in np.lexsort((b, a)).tolist():
-        x = at[a[k]]
-        if held[0] != x:
-            held = (x, np.frombuffer(blobs[x].as_buffer(), np.uint64))
-        s, t = held[1], np.frombuffer(blobs[at[b[k]]].as_buffer(), np.uint64)
-        both = np.concatenate([s, t])
-        both.sort()
-        inter = int((both[1:] == both[:-1]).sum())
-        if 100 * inter >= 75 * (len(s) + len(t) - inter):
-            keep.append(k)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
+    keep = [k for k, (a, b) in enumerate(zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)) if _linked(sets[at[a]], [sets[at[b]]])[0]]
     return left.select(["a", "b"]).take(pa.array(keep, pa.int64())).rename_columns(["u", "v"])
 
 
@@ -243,21 +298,28 @@ BROADCAST_IDS = 1_000_000
 
 
 def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Confirmed links ``(u, v)`` between class ids."""
-    pairs = T.written(_candidates(classes), "candidates")
-    ids = T.written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "candidate-ids")
-    n = ids.count()
-    if not n:
-        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    needed = documents.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
-    ranges = T.parts_for(n, 4_000, 6)
-    mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ranges))
-    cells = pairs.withColumn("lo", F.least(mine("a"), mine("b"))).withColumn("hi", F.greatest(mine("a"), mine("b")))
-    wanted = cells.select(F.col("lo").alias("row"), F.col("hi").alias("column"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    # A repeated row gives the same set again: any one serves.
-    sets = _sets(needed, key, text).dropDuplicates(["id"])
-    sent = wanted.join(sets, "id")
-    return cells.groupBy("lo", "hi").cogroup(sent.groupBy("row", "column")).applyInArrow(_confirm, "u long, v long")
+    """Confirmed links ``(u, v)`` between class ids, written."""
+    search = _Search(classes, documents, key, text)
+    search.run()
+    found = list(search.links)
+    if search.pairs:
+        pairs = search.pairs[0]
+        for more in search.pairs[1:]:
+            pairs = pairs.union(more)
+        pairs = T.written(pairs.distinct(), "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = search.whole_sets(wanted)
+        ranges = T.parts_for(wanted.count(), 4_000, 6)
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ranges))
+        cells = pairs.withColumn("lo", F.least(mine("a"), mine("b"))).withColumn("hi", F.greatest(mine("a"), mine("b")))
+        sent = cells.select(F.col("lo").alias("row"), F.col("hi").alias("column"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+        found.append(cells.groupBy("lo", "hi").cogroup(sent.groupBy("row", "column")).applyInArrow(_confirm, "u long, v long"))
+    if not found:
+        return documents.sparkSession.createDataFrame([], "u long, v long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return T.written(out, "confirmed")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +338,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     members = signed.select("id", "n_shingles", "set_key")
     # One row a class, with its representative's signature.
     lead = T.written(signed.join(classes, ["set_key", "id"]).dropDuplicates(["id"]), "classes")
-    found = T.written(links(lead.select("id", "n_shingles", "paths", "sig"), documents, key, text), "confirmed")
+    found = links(lead.select("id", "n_shingles", "paths", "sig"), documents, key, text)
     joined = components.smallest_reachable(found)
     named = lead.select("set_key", F.col("id").alias("class_id")).join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = T.written(named.select("set_key", F.coalesce("component", "class_id").alias("component")), "named")
