@@ -36,8 +36,11 @@ def solve(df: DataFrame, n: int, names: Sequence[str], keep: Sequence[str], enou
     """``x_i_name`` of the normal equations in ``df``, 0 where ``enough`` is false or a pivot vanishes.
 
     Each elimination step is one projection, so that a step's columns are computed once.
+    The added zero counts as non-deterministic: it keeps the optimizer from copying the
+    whole solver into each later filter.  Filter keys before the fit, not after.
     """
     c = F.col
+    zero = F.spark_partition_id() * F.lit(0.0)
     for k in range(n):
         later = range(k + 1, n)
         pivot = F.nullif(c(f"m_{k}_{k}"), F.lit(0.0))
@@ -48,7 +51,7 @@ def solve(df: DataFrame, n: int, names: Sequence[str], keep: Sequence[str], enou
         df = df.withColumns(step)
     for k in reversed(range(n)):
         df = df.withColumns({f"x_{k}_{y}": c(f"r_{k}_{y}") / c(f"d_{k}") - sum((c(f"l_{i}_{k}") * c(f"x_{i}_{y}") for i in range(k + 1, n)), F.lit(0.0)) for y in names})
-    return df.select(*keep, *[F.when(enough, F.coalesce(f"x_{i}_{y}", F.lit(0.0))).otherwise(F.lit(0.0)).alias(f"x_{i}_{y}") for y in names for i in range(n)])
+    return df.select(*keep, *[(F.when(enough, F.coalesce(f"x_{i}_{y}", F.lit(0.0))).otherwise(F.lit(0.0)) + zero).alias(f"x_{i}_{y}") for y in names for i in range(n)])
 
 
 def predict(a: Sequence[Column], name: str = "y") -> Column:
