@@ -25,7 +25,7 @@ WORD_BITS = 15
 FORMS = 1024
 NEIGHBOURS = (1, 2)
 #: Labelled documents used for fitting, at most.
-TRAIN_LIMIT = 6000
+TRAIN_LIMIT = 4000
 THRESHOLD = 0.3
 
 _UPPER = np.zeros(256, np.uint8)
