@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 BLOCK_BYTES = 1 << 20
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes all tables this process has written so far; for when no result that reads them is needed any more."""
+    n = len(_paths)
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def pack(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

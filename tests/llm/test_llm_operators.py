@@ -1,6 +1,7 @@
 """Each operator on hostile rows, against brute force or an exact round trip."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 
-from terraspark.llm import bitsliced, components, language, media, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
+from terraspark.llm import bitsliced, components, language, media, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, size int, shard int, score double, target int"
@@ -397,5 +398,12 @@ def test_texts_as_media(documents, rows, empty):
     assert media.store_texts(empty, digest, "doc_id long, n long, sha string").count() == 0
 
 
+def test_clean_deletes_what_was_written(spark):
+    df = tables.written(spark.range(3), "x")
+    assert df.count() == 3 and tables.clean(spark) > 0 and tables.clean(spark) == 0
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
+
+
 def test_null_fold(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(samples.remainder("doc_id", 3).alias("x")).first().x == 0
