@@ -320,4 +320,25 @@ SQL: dict[str, str] = {
     "elevation_default_join": _with("v_grid", body="select pixel_id, case when pixel_id % 7 <> 0 then elevation::double else 0e0 end as elevation from v_grid"),
     "period_counts": _with("v_obs", body="select (date '1970-01-01' + (date_diff('day', date '1970-01-01', obs_date) // 60 * 60)::int)::date as start, pixel_id, count(*) as n, round(avg(case when flg in (1, 2, 3) then 0e0 else 1e0 end), 6) as clear from v_obs group by 1, 2"),
 }
+
+
+def _lambert_steps() -> list[tuple[str, str]]:
+    """Inverse and forward Lambert-93, from the projection's defining constants alone."""
+    m = "(cos(radians({0})) / sqrt(1 - e * e * sin(radians({0})) * sin(radians({0}))))"
+    q = "ln(tan(pi() / 4 + radians({0}) / 2) * pow((1 - e * sin(radians({0}))) / (1 + e * sin(radians({0}))), e / 2))"
+    steps = [
+        ("ell", "select 6378137e0 as a, sqrt(2 / 298.257222101e0 - 1 / (298.257222101e0 * 298.257222101e0)) as e"),
+        ("cone", f"select *, ln({m.format('44e0')} / {m.format('49e0')}) / ({q.format('49e0')} - {q.format('44e0')}) as n from ell"),
+        ("big", f"select *, a * {m.format('44e0')} / n * exp(n * {q.format('44e0')}) as k from cone"),
+        ("apex", f"select *, 6600000e0 + k * exp(-n * {q.format('46.5e0')}) as ys from big"),
+        ("pts", "select seq, 600000e0 + x0 * 5000 as x, 6300000e0 + y0 * 5000 as y, apex.* from v_box cross join apex"),
+        ("iso", "select *, 3e0 + degrees(atan((x - 700000e0) / (ys - y)) / n) as lon, -ln(sqrt((x - 700000e0) * (x - 700000e0) + (ys - y) * (ys - y)) / k) / n as l from pts"),
+        ("lat0", "select *, 2 * atan(exp(l)) - pi() / 2 as phi from iso"),
+    ]
+    for i in range(8):
+        steps.append((f"lat{i + 1}", f"select * replace (2 * atan(pow((1 + e * sin(phi)) / (1 - e * sin(phi)), e / 2) * exp(l)) - pi() / 2 as phi) from lat{i}"))
+    return steps
+
+
+SQL["crs_transform"] = _with("v_box", *_lambert_steps(), body="select seq, round(lon, 6) as lon, round(degrees(phi), 6) as lat, round(x, 3) as x, round(y, 3) as y from lat8")
 SQL["stream_fold"] = SQL["harmonic_wls_h2"]
