@@ -118,3 +118,22 @@ def geographic_to_lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
     t = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
     rho, theta = F.lit(LAMBERT93["a"] * big_f) * F.pow(t, F.lit(n)), F.radians(lon - LAMBERT93["lon0"]) * n
     return rho * F.sin(theta) + LAMBERT93["x0"], F.lit(rho0) - rho * F.cos(theta) + LAMBERT93["y0"]
+
+
+def height_mask(heights: DataFrame, value: str, target: DataFrame, ratio: float, least: float = 0.0) -> DataFrame:
+    """``r, c, forest``: 1 where the nearest canopy height is at least ``least``, else 0."""
+    x = regrid_nearest(heights, value, target, ratio)
+    return x.select("r", "c", F.when(F.col(value) >= least, 1).otherwise(0).alias("forest"))
+
+
+def nearest_window_with(df: DataFrame, wins: DataFrame, size: int, width: int, r: int, c: int) -> DataFrame:
+    """The window with data that is closest (in windows, larger of both directions) to the one at (r, c)."""
+    filled = df.select(window_of(F.col("r"), F.col("c"), size, width).alias("window_id")).distinct()
+    distance = F.greatest(F.abs(F.floor(F.col("row_off") / size) - r // size), F.abs(F.floor(F.col("col_off") / size) - c // size))
+    x = wins.join(filled, "window_id", "left_semi").withColumn("distance", distance)
+    return x.agg(F.min_by(F.struct("window_id", "row_off", "col_off", "distance"), F.struct("distance", "window_id")).alias("w")).select("w.*")
+
+
+def contained(left: str, bottom: str, right: str, top: str, extent: tuple[float, float, float, float]) -> Column:
+    """Whether bounds lie inside an extent (left, bottom, right, top)."""
+    return F.col(left).between(extent[0], extent[2]) & F.col(right).between(extent[0], extent[2]) & F.col(bottom).between(extent[1], extent[3]) & F.col(top).between(extent[1], extent[3])

@@ -28,6 +28,8 @@ def wls(df: DataFrame, keys: Sequence[str], ys: Sequence[str], harmonics: int =
     ``df`` has ``t`` and the series; a row with any null series weighs nothing.
     Keys with fewer than 2H+1 weighted rows get parameters 0.
     """
+    if harmonics < 1:
+        raise ValueError("at least one harmonic is needed")
     n = 2 * harmonics + 1
     w = F.when(S.any_null(ys), F.lit(0.0)).otherwise(weight if weight is not None else F.lit(1.0))
     df = df.withColumn("w_", w)
@@ -51,6 +53,8 @@ def irls(df: DataFrame, keys: Sequence[str], y: str, harmonics: int = 2, iterati
     the series' mean at weight 0, and count for sigma.  All steps are window sums over
     the same keys, so one shuffle and one sort serve every iteration.
     """
+    if harmonics < 1 or iterations < 1:
+        raise ValueError("at least one harmonic and one iteration are needed")
     n = 2 * harmonics + 1
     by = Window.partitionBy(*keys)
     df = df.withColumns({
@@ -109,3 +113,4 @@ def as_of_next(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str,
     ordered = Window.partitionBy(*keys).orderBy(F.col("d_").desc(), F.col("n_").desc_nulls_last())
     found = both.withColumn("next", F.last("n_", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return found.where(F.col("n_").isNull()).select(*keys, F.col("d_").alias(at), F.col("next").alias(other))
+

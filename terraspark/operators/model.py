@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (tree, node, feature, threshold, left, right, p): a small fixed ensemble for tests and demonstrations.
@@ -18,6 +18,21 @@ DEMO_TREES = (
 )
 
 
+NODES = "tree int, node int, feature string, threshold double, left int, right int, p double"
+
+
+def save_nodes(spark: SparkSession, nodes: Iterable[tuple], path: str) -> None:
+    spark.createDataFrame(list(nodes), NODES).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_nodes(spark: SparkSession, path: str, most: int = 1_000_000) -> list[tuple]:
+    """A stored node table; Spark's error if there is none, ValueError if it is no model (empty or over ``most`` nodes)."""
+    rows = spark.read.schema(NODES).parquet(path).limit(most + 1).collect()
+    if not 0 < len(rows) <= most:
+        raise ValueError(f"{path}: {len(rows)} nodes")
+    return [tuple(r) for r in rows]
+
+
 def ensemble(nodes: Iterable[tuple], features: Iterable[str] | None = None) -> Column:
     """Mean leaf probability; a sample goes left where its feature is at most the threshold."""
     trees: dict[int, dict[int, tuple]] = {}

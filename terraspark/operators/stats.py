@@ -73,3 +73,15 @@ def band_roles(stats: DataFrame) -> DataFrame:
     """A guess at each band's role from its mean and top value (reflectances)."""
     role = F.when(F.col("mean") > 0.25, "near infrared").when(F.col("mean") > 0.15, "short-wave infrared").when(F.col("high") > 0.1, "red").otherwise("visible")
     return stats.withColumn("role", role)
+
+
+def guards(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """For each group and column whether it is all null and whether it is all zero."""
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "name", "x")
+    return long.groupBy(*by, "name").agg(F.bool_and(F.col("x").isNull()).alias("all_null"), F.coalesce(F.bool_and(F.coalesce(F.col("x"), F.lit(0.0)) == 0), F.lit(True)).alias("all_zero"))
+
+
+def joint_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Smallest and largest value over several columns, for one colour scale."""
+    ends = df.agg(F.min(F.least(*columns)).alias("low"), F.max(F.greatest(*columns)).alias("high")) if len(columns) > 1 else df.agg(F.min(columns[0]).alias("low"), F.max(columns[0]).alias("high"))
+    return ends

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions import harmonics as H
 from ..functions import spectral as S
 from ..operators import harmonic, model
 
@@ -30,6 +31,37 @@ def probability_map(obs: DataFrame, dem: DataFrame | None = None, nodes=model.DE
     return scored.select(*keys, "n_obs", "probability", "prob_u8", codec.classify(F.col("prob_u8")).alias("class"))
 
 
+def encoded_features(obs: DataFrame, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",), t0=None, digits: int = 9) -> DataFrame:
+    """First-generation feature rasters: indices with gaps as 0, amplitude, phase and offset of each in 16 bits."""
+    x = S.with_indices(S.to_reflectance(harmonic.time_axis(obs, t0=t0)), fill_zero=True)
+    fitted = harmonic.wls(x, keys, S.INDICES, harmonics)
+    out = []
+    for y in S.INDICES:
+        for k in range(1, harmonics + 1):
+            out += [codec.encode_unit(F.round(H.amplitude(k, y), digits)).alias(f"{y}_amplitude_h{k}"), codec.encode_phase(F.round(H.phase(k, y), digits)).alias(f"{y}_phase_h{k}")]
+        out.append(codec.encode_unit(F.round(H.offset(harmonics, y), digits)).alias(f"{y}_offset"))
+    return fitted.select(*keys, *out)
+
+
+def decoded_features(encoded: DataFrame, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",)) -> DataFrame:
+    """Features for the model from encoded ones: amplitudes, cosines of phases, offsets, elevation 0."""
+    out = []
+    for y in S.INDICES:
+        for k in range(1, harmonics + 1):
+            out += [codec.decode_unit(F.col(f"{y}_amplitude_h{k}")).alias(f"{y}_amplitude_h{k}"), F.cos(codec.decode_phase(F.col(f"{y}_phase_h{k}"))).alias(f"{y}_cos_phase_h{k}")]
+        out.append(codec.decode_unit(F.col(f"{y}_offset")).alias(f"{y}_offset"))
+    return encoded.select(*keys, *out, F.lit(0.0).alias("elevation"))
+
+
+def classify_encoded(encoded: DataFrame, nodes=model.DEMO_TREES, mode: str = "pred", keys: Sequence[str] = ("pixel_id",)) -> DataFrame:
+    """The most probable class (``pred``: 1 or 2) or the probability in 0..255 (``proba``) of encoded features."""
+    if mode not in ("pred", "proba"):
+        raise ValueError(mode)
+    scored = model.score(decoded_features(encoded, keys=keys), nodes)
+    value = F.when(F.col("probability") > 0.5, 2).otherwise(1) if mode == "pred" else codec.probability_to_byte(F.col("probability"))
+    return scored.select(*keys, value.alias("value"))
+
+
 def remaining_inference(obs: DataFrame, state: DataFrame, tile: str = "tile_idx", **options) -> DataFrame:
     """Inference over the tiles that aren't completed; failed tiles simply stay in the remainder."""
     todo = obs.join(state.where("completed = 1").select(tile).distinct(), tile, "left_anti")

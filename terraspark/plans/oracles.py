@@ -322,8 +322,8 @@ SQL: dict[str, str] = {
 }
 
 
-def _lambert_steps() -> list[tuple[str, str]]:
-    """Inverse and forward Lambert-93, from the projection's defining constants alone."""
+def _lambert_steps(points: str = "select seq, 600000e0 + x0 * 5000 as x, 6300000e0 + y0 * 5000 as y from v_box") -> list[tuple[str, str]]:
+    """Inverse Lambert-93, from the projection's defining constants alone."""
     m = "(cos(radians({0})) / sqrt(1 - e * e * sin(radians({0})) * sin(radians({0}))))"
     q = "ln(tan(pi() / 4 + radians({0}) / 2) * pow((1 - e * sin(radians({0}))) / (1 + e * sin(radians({0}))), e / 2))"
     steps = [
@@ -331,7 +331,7 @@ def _lambert_steps() -> list[tuple[str, str]]:
         ("cone", f"select *, ln({m.format('44e0')} / {m.format('49e0')}) / ({q.format('49e0')} - {q.format('44e0')}) as n from ell"),
         ("big", f"select *, a * {m.format('44e0')} / n * exp(n * {q.format('44e0')}) as k from cone"),
         ("apex", f"select *, 6600000e0 + k * exp(-n * {q.format('46.5e0')}) as ys from big"),
-        ("pts", "select seq, 600000e0 + x0 * 5000 as x, 6300000e0 + y0 * 5000 as y, apex.* from v_box cross join apex"),
+        ("pts", f"select p.*, apex.* from ({points}) p cross join apex"),
         ("iso", "select *, 3e0 + degrees(atan((x - 700000e0) / (ys - y)) / n) as lon, -ln(sqrt((x - 700000e0) * (x - 700000e0) + (ys - y) * (ys - y)) / k) / n as l from pts"),
         ("lat0", "select *, 2 * atan(exp(l)) - pi() / 2 as phi from iso"),
     ]
@@ -342,3 +342,47 @@ def _lambert_steps() -> list[tuple[str, str]]:
 
 SQL["crs_transform"] = _with("v_box", *_lambert_steps(), body="select seq, round(lon, 6) as lon, round(degrees(phi), 6) as lat, round(x, 3) as x, round(y, 3) as y from lat8")
 SQL["stream_fold"] = SQL["harmonic_wls_h2"]
+
+_TILES = ("tiles", "select tile_id, split_part(tile_id, '_', 2)::double as \"left\", split_part(tile_id, '_', 3)::double as bottom from (select distinct tile_id from files)")
+_CORNERS = "select tile_id, \"left\" as x, bottom as y, 0 as corner from tiles union all select tile_id, \"left\" + 50000, bottom + 50000, 1 from tiles"
+SQL["tile_metadata"] = _with(
+    "v_path", _FILES, _TILES, *_lambert_steps(_CORNERS),
+    body="select t.tile_id, 'EPSG:2154' as crs, \"left\", bottom, \"left\" + 50000 as \"right\", bottom + 50000 as top, 10e0 as res, 5000 as width, 5000 as height, round(p.lon, 6) as west, round(degrees(p.phi), 6) as south, round(q.lon, 6) as east, round(degrees(q.phi), 6) as north "
+    "from tiles t join lat8 p on p.tile_id = t.tile_id and p.corner = 0 join lat8 q on q.tile_id = t.tile_id and q.corner = 1",
+)
+SQL["tile_containment"] = _with("v_path", _FILES, _TILES, body='select tile_id, "left" >= 200000 and "left" + 50000 <= 1000000 and bottom >= 6000000 and bottom + 50000 <= 6150000 as inside from tiles')
+SQL["first_reference_file"] = _with("v_path", _FILES, body="select tile_id, min(path) as path from files group by tile_id")
+SQL["screening_counts"] = f"select status, count(*) as n from ({SQL['file_screening']}) group by status"
+SQL["series_guards"] = _with("v_grid", body=" union all ".join(f"select eco, '{c}' as name, false as all_null, max(abs({c})) = 0 as all_zero from v_grid group by eco" for c in ("cls1", "prob", "forest")))
+SQL["joint_range"] = f"select round(min(least(amplitude_h1, amplitude_h2, \"offset\")), 6) as low, round(max(greatest(amplitude_h1, amplitude_h2, \"offset\")), 6) as high from ({SQL['harmonic_wls_h2']})"
+SQL["canopy_mask"] = _with("v_grid", ("z", "select max(r) + 1 as h from v_grid"), body="select ((r - 1) // 2)::int as r, ((c - 1) // 2)::int as c, case when prob >= 100 then 1 else 0 end as forest from v_grid, z where r % 2 = 1 and c % 2 = 1 and r < h // 2 * 2")
+SQL["nearest_data_window"] = _with(
+    "v_grid", ("w", "select distinct (r // 4 * 13 + c // 4)::int as window_id, (r // 4 * 4)::int as row_off, (c // 4 * 4)::int as col_off, greatest(abs(r // 4 - 5), abs(c // 4 - 6))::bigint as distance from v_grid where prob = 255"),
+    body="select * from w order by distance, window_id limit 1",
+)
+SQL["dem_build"] = (
+    SQL["regrid_bilinear"].replace("1.5e0", "2.5e0").replace("range(0, 33)", "range(0, 20)").replace("g.prob", "g.elevation::double").replace("as prob\n", "as elevation\n")
+)
+_ZERO = ("src", "select pixel_id, t, coalesce(ndvi, 0e0) as ndvi, coalesce(evi, 0e0) as evi, coalesce(nbr, 0e0) as nbr, coalesce(crswir, 0e0) as crswir, 1e0 as w from idx")
+
+
+def _encoded() -> list[tuple[str, str]]:
+    out, decoded = [], []
+    tau = repr(2 * 3.141592653589793)
+    for y in _INDICES:
+        for k in (1, 2):
+            a, b = f"x_{2 * k - 2}_{y}", f"x_{2 * k - 1}_{y}"
+            amplitude, angle = f"round(sqrt({a} * {a} + {b} * {b}), 9)", f"(round(atan2({b}, {a}), 9) + {PI}::double) / {tau}::double"
+            out += [f"floor({_clip(amplitude, 0.0, 1.0)} * 65535)::int as {y}_amplitude_h{k}", f"floor({_clip(angle, 0.0, 1.0)} * 65535)::int as {y}_phase_h{k}"]
+            decoded += [f"nullif({y}_amplitude_h{k}, 65535) / 65535e0 as {y}_amplitude_h{k}", f"cos(nullif({y}_phase_h{k}, 65535) / 65535e0 * {tau}::double - {PI}::double) as {y}_cos_phase_h{k}"]
+        out.append(f"floor({_clip(f'round(x_4_{y}, 9)', 0.0, 1.0)} * 65535)::int as {y}_offset")
+        decoded.append(f"nullif({y}_offset, 65535) / 65535e0 as {y}_offset")
+    filled = ", ".join(f"coalesce({c}, 0e0) as {c}" for c in _WIDE_COLUMNS)
+    return [
+        _REFL, _IDX, _ZERO, *_fit("src", 2, _INDICES), ("encoded", f"select pixel_id, {', '.join(out)} from fit"), ("decoded", f"select pixel_id, {', '.join(decoded)}, 0e0 as elevation from encoded"),
+        ("wide", f"select pixel_id, 0 as n_obs, {filled} from decoded"), _SCORED,
+    ]
+
+
+SQL["encoded_features"] = _with("v_obs", *_encoded(), body="select * from encoded")
+SQL["classify_encoded"] = _with("v_obs", *_encoded(), body="select pixel_id, case when probability > 0.5 then 2 else 1 end as pred, floor(probability * 255)::int as proba from scored")

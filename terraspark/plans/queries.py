@@ -439,6 +439,63 @@ def elevation_default_join(spark, d):
     return x.join(_dem(spark, d), "pixel_id", "left").select("pixel_id", F.coalesce(F.col("elevation").cast("double"), F.lit(0.0)).alias("elevation"))
 
 
+# --- further catalog, grid and first-generation plans
+
+
+def tile_metadata(spark, d):
+    return _rounded(rasters.tile_metadata(catalog.tiles(X.paths(spark, d))))
+
+
+def tile_containment(spark, d):
+    x = rasters.tile_metadata(catalog.tiles(X.paths(spark, d)))
+    inside = grid.contained("left", "bottom", "right", "top", (200000.0, 6000000.0, 1000000.0, 6150000.0))
+    return x.select("tile_id", inside.alias("inside"))
+
+
+def first_reference_file(spark, d):
+    x = X.paths(spark, d)
+    return catalog.first_reference(x.withColumn("tile_id", catalog.tile_id(F.col("path"))), "tile_id")
+
+
+def screening_counts(spark, d):
+    return file_screening(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def series_guards(spark, d):
+    return stats.guards(X.grid(spark, d), ["cls1", "prob", "forest"], ["eco"])
+
+
+def joint_range(spark, d):
+    x = _features_h1(spark, d)
+    return _rounded(stats.joint_range(x, ["amplitude_h1", "amplitude_h2", "offset"]))
+
+
+def canopy_mask(spark, d):
+    x = X.grid(spark, d)
+    return grid.height_mask(x, "prob", grid.target_grid(spark, int(_height(x) / 2), WIDTH // 2), 2.0, 100)
+
+
+def nearest_data_window(spark, d):
+    x = X.grid(spark, d)
+    some = x.where("prob = 255")
+    return grid.nearest_window_with(some, grid.windows(spark, WIDTH, _height(x), 4), 4, WIDTH, 20, 24)
+
+
+def dem_build(spark, d):
+    x = X.grid(spark, d).select("r", "c", F.col("elevation").cast("double").alias("elevation"))
+    return _rounded(grid.regrid_bilinear(x, "elevation", grid.target_grid(spark, int(_height(x) / 2.5), WIDTH * 2 // 5), 2.5))
+
+
+def encoded_features(spark, d):
+    return inference.encoded_features(X.observations(spark, d))
+
+
+def classify_encoded(spark, d):
+    x = inference.encoded_features(X.observations(spark, d))
+    pred, proba = inference.classify_encoded(x), inference.classify_encoded(x, mode="proba").withColumnRenamed("value", "proba")
+    return pred.withColumnRenamed("value", "pred").join(proba, "pixel_id")
+
+
 # --- rows only
 
 
@@ -472,7 +529,8 @@ _LIST = [
     index_histogram, phase_amplitude_hist2d, percentile_stretch, minmax_normalise, value_counts, tile_catalog_regex, timeseries_catalog, paired_files_join, filename_dates, asof_next_date,
     remaining_tiles, progress, config_json_roundtrip, winter_middle_date, cube_validation, window_tiling, tiling_covers_extent, evenly_spaced_windows, common_extent, regrid_nearest, regrid_bilinear,
     central_window, mosaic_union, crs_transform, gaussian_smooth, gradient_aspect, hillshade, dilate_disk, mean_disk, qa_weights_flg, bbox_intersect_join, rasterize_boxes, dissolve_first,
-    file_screening, geojson_bbox, elevation_default_join, rf_score_ml, stream_fold, period_counts,
+    file_screening, geojson_bbox, elevation_default_join, tile_metadata, tile_containment, first_reference_file, screening_counts, series_guards, joint_range, canopy_mask,
+    nearest_data_window, dem_build, encoded_features, classify_encoded, rf_score_ml, stream_fold, period_counts,
 ]
 QUERIES = {f.__name__: f for f in _LIST} | {"harmonic_wls_h1": _wls(1), "harmonic_wls_h2": _wls(2)}
 

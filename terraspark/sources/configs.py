@@ -80,3 +80,10 @@ def bbox_feature(text: Column) -> Column:
 
     part = lambda i: F.trim(F.get(F.split(text, ","), F.lit(i))).cast("double")
     return polygon_geojson(*[part(i) for i in range(4)])
+
+
+def job_summary(configs: DataFrame) -> list[str]:
+    """Lines of a summary: tiles, dates and the settings in use."""
+    one = configs.agg(F.count("*").alias("tiles"), F.max(F.size("dates")).alias("dates"), F.max("config").alias("config")).first()
+    lines = [f"tiles: {one.tiles}", f"dates: {one.dates}"]
+    return lines + [f"{k}: {v}" for k, v in (one.config.asDict() if one.config else {}).items()]

@@ -59,3 +59,27 @@ def synthetic_series(spark: SparkSession, pixels: int = 100, dates: int = 36, st
     t = F.col("i") * step_days / 365.25
     y = 0.5 + 0.3 * F.sin(2 * math.pi * t + 0.5) + 0.15 * F.sin(4 * math.pi * t + 1.0) + noise * normal
     return x.select("pixel_id", F.date_add(F.lit(start).cast("date"), (F.col("i") * step_days).cast("int")).alias("obs_date"), F.when(u(3) >= missing, y).alias("y"))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
+    """``path, length, modified`` of all files below a directory; contents are not read."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return x.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def tile_metadata(tiles: DataFrame, size: float = 50_000.0, cells: int = 5000, tile: str = "tile_id") -> DataFrame:
+    """Bounds, resolution, shape and geographic bounds of tiles named ``EPSG<code>_<left>_<bottom>``; other names give nulls."""
+    from ..operators import grid
+
+    part = lambda i: F.try_to_number(F.nullif(F.regexp_extract(tile, r"^EPSG(\d+)_(\d+)_(\d+)$", i), F.lit("")), F.lit("9999999999")).cast("double")
+    x = tiles.select(tile, F.concat(F.lit("EPSG:"), part(1).cast("int")).alias("crs"), part(2).alias("left"), part(3).alias("bottom"))
+    x = x.withColumns({"right": F.col("left") + size, "top": F.col("bottom") + size, "res": F.lit(size / cells), "width": F.lit(cells), "height": F.lit(cells)})
+    west, south = grid.lambert93_to_geographic(F.col("left"), F.col("bottom"))
+    east, north = grid.lambert93_to_geographic(F.col("right"), F.col("top"))
+    return x.withColumns({"west": west, "south": south, "east": east, "north": north})
+
+
+def quarantine(screened: DataFrame, path: str, status: str = "status") -> DataFrame:
+    """Writes all files by status (one directory each) and returns the counts."""
+    screened.write.mode("overwrite").partitionBy(status).parquet(path)
+    return screened.groupBy(status).agg(F.count("*").alias("n"))
