@@ -20,7 +20,7 @@ from . import kernels as K
 from . import samples
 
 #: Documents with a language used for fitting, at most.
-TRAIN_LIMIT = 6000
+TRAIN_LIMIT = 4000
 LONGEST = 4
 #: Words and n-grams seen less often than this are not known.
 LEAST = 2
@@ -132,36 +132,53 @@ class Model:
         return names, probability
 
 
-def _table(hashes: np.ndarray, languages: np.ndarray, weights: np.ndarray, n: int) -> Table:
-    """Add-one-half log frequencies of the hashes seen at least ``LEAST`` times."""
-    values, place = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(place * n + languages, weights=weights, minlength=len(values) * n).reshape(-1, n)
-    total = counts.sum(axis=0) + 0.5 * max(len(values), 1)
-    keep = counts.sum(axis=1) >= LEAST
-    return Table(values[keep], np.log((counts[keep] + 0.5) / total))
+class _Counts:
+    """Counts of hashes by language, added up whenever many have gathered."""
+
+    def __init__(self, languages: int):
+        self.n, self.parts, self.waiting = languages, [], 0
+
+    def add(self, hashes: np.ndarray, language: np.ndarray, weights: np.ndarray) -> None:
+        values, place = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(place * self.n + language, weights=weights, minlength=len(values) * self.n)
+        self.parts.append((values, counts.reshape(-1, self.n).astype(np.float32)))
+        self.waiting += len(values)
+        if self.waiting > 1 << 18:
+            self.parts, self.waiting = [self.total()], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.zeros((0, self.n), np.float32)
+        values, place = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        sums = np.zeros((len(values), self.n), np.float32)
+        np.add.at(sums, place, np.concatenate([p[1] for p in self.parts]))
+        return values, sums
+
+    def table(self) -> Table:
+        """Add-one-half log frequencies of the hashes seen at least ``LEAST`` times."""
+        values, counts = self.total()
+        total = counts.sum(axis=0, dtype=np.float64) + 0.5 * max(len(values), 1)
+        keep = counts.sum(axis=1) >= LEAST
+        return Table(values[keep], np.log((counts[keep] + 0.5) / total))
 
 
 def fit(texts: list[str | None], langs: list[str]) -> Model:
     """Counts of words and character n-grams by language."""
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
-    each: dict[int, list] = {n: [] for n in range(LONGEST + 1)}
-    step = 256
+    words, grams = _Counts(max(len(names), 1)), {n: _Counts(max(len(names), 1)) for n in range(1, LONGEST + 1)}
+    step = 64
     for a in range(0, len(texts), step):
         w = Words(texts[a : a + step])
         own = np.repeat([number[x] for x in langs[a : a + step]], np.diff(w.first))
         # Occurrences of each distinct word in each language.
         pair, count = np.unique(w.inverse * len(names) + own, return_counts=True)
         word, language = pair // len(names), pair % len(names)
-        each[0].append((w.hashes[word], language, count))
-        for n in range(1, LONGEST + 1):
+        words.add(w.hashes[word], language, count)
+        for n, counts in grams.items():
             hashes, place = w.grams(word, n)
-            each[n].append((hashes, language[place], count[place]))
-    joined = {}
-    for n, parts in each.items():
-        cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, (np.uint64, np.int64, np.int64)[i]) for i in range(3)]
-        joined[n] = _table(*cols, max(len(names), 1))
-    return Model(names, joined[0], {n: joined[n] for n in range(1, LONGEST + 1)})
+            counts.add(hashes, language[place], count[place])
+    return Model(names, words.table(), {n: c.table() for n, c in grams.items()})
 
 
 def identify(documents: DataFrame, wanted, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_LIMIT) -> DataFrame:
