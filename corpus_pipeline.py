@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     for name, stage in STAGES[:-1]:
         docs = tables.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

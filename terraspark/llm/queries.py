@@ -15,7 +15,8 @@ from . import bitsliced, language, media, mixing, near_dedup, packing, quality,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return tables.spread(df, columns[0]) if name == "documents" else df
 
 
 def _judged(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:

@@ -45,6 +45,12 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than there are cores (a single small file), dealt out by key; any other as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 def pack(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
