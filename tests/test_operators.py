@@ -171,3 +171,58 @@ def test_remaining_inference_skips_completed(spark):
 def test_phase_is_wrapped(spark):
     df = spark.range(1).select(F.lit(-1.0).alias("x_0_y"), F.lit(0.0).alias("x_1_y"))
     assert df.select(H.phase(1).alias("p")).first().p == pytest.approx(math.pi)
+
+
+def test_listing_and_metadata(spark, tmp_path):
+    d = tmp_path / "a" / "b"
+    d.mkdir(parents=True)
+    (d / "s2_EPSG2154_700000_6600000.tif").write_bytes(b"xy")
+    (d / "note.txt").write_text("no")
+    files = rasters.list_files(spark, str(tmp_path))
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in files.collect()] == [("s2_EPSG2154_700000_6600000.tif", 2)]
+    tiles = files.select(catalog.tile_id(F.col("path")).alias("tile_id")).union(spark.createDataFrame([("odd",)], "tile_id string"))
+    good, odd = sorted(rasters.tile_metadata(tiles).collect(), key=lambda r: r.left is None)
+    assert abs(good.west - 3.0) < 1e-9 and abs(good.south - 46.5) < 1e-9 and good.top == 6650000.0 and odd.left is None
+
+
+def test_node_table_round_trip(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    model.save_nodes(spark, model.DEMO_TREES, path)
+    assert sorted(model.load_nodes(spark, path), key=lambda x: x[:2]) == sorted(model.DEMO_TREES, key=lambda x: x[:2])
+    model.save_nodes(spark, [], str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        model.load_nodes(spark, str(tmp_path / "none"))
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([("a", None, 0.0), ("a", None, 0.0), ("b", 1.0, None)], "g string, x double, y double")
+    got = {(r.g, r.name): (r.all_null, r.all_zero) for r in stats.guards(df, ["x", "y"], ["g"]).collect()}
+    assert got == {("a", "x"): (True, True), ("a", "y"): (False, True), ("b", "x"): (False, False), ("b", "y"): (True, True)}
+
+
+def test_quarantine_writes_by_status(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 0, 10, 10, 5.0), (2, 100, 100, 110, 110, 5.0), (3, 0, 0, 4, 4, 0.0)], "seq int, x0 int, y0 int, x1 int, y1 int, nonzero_percent double")
+    out = rasters.quarantine(vector.screen(df, (0.0, 0.0, 20.0, 20.0)), str(tmp_path / "q"))
+    assert {r.status: r.n for r in out.collect()} == {"valid": 1, "outside_bounds": 1, "empty_file": 1}
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 3
+
+
+def test_config_files(spark, tmp_path):
+    series = spark.createDataFrame([("t", [dt.date(2021, 1, 1)], ["/a.tif"])], "tile_id string, dates array<date>, paths array<string>")
+    made = configs.tile_configs(series, F.lit("/dem.tif"))
+    made.select("json").write.text(str(tmp_path / "c"))
+    back = configs.read_configs(spark, str(tmp_path / "c"))
+    assert back.first().config.asDict() == configs.DEFAULTS
+    assert configs.job_summary(back)[:2] == ["tiles: 1", "dates: 1"]
+    assert [r.tile_idx for r in configs.missing_tiles(spark.createDataFrame([(0,)], "tile_idx long"), 2).collect()] == [1]
+
+
+def test_encoded_classes(spark):
+    rows = [(1, dt.date(2021, 1 + i, 1), 300, 400, 2500 + 100 * i, 900, 700) for i in range(10)]
+    obs = spark.createDataFrame(rows, "pixel_id long, obs_date date, b2 int, b4 int, b8 int, b11 int, b12 int")
+    x = inference.encoded_features(obs)
+    assert inference.classify_encoded(x).first().value in (1, 2)
+    with pytest.raises(ValueError):
+        inference.classify_encoded(x, mode="other")
+    with pytest.raises(ValueError):
+        harmonic.wls(obs, ["pixel_id"], ["b2"], 0)
