@@ -8,8 +8,8 @@ are a prefix, so one pass of running sums finds the common level.
 
 A document is then taken ``floor(target / source words)`` whole times, and once
 more if it lies in a seeded prefix of its source that holds the missing fraction.
-The prefix is found in two steps, sums of hash buckets and then rows of the one
-bucket where it ends, so that no source, however large, is ordered in one task.
+The prefix's end is found by sums of hash buckets, of finer ones in the bucket where
+it lies, and at last by rows, so that no source, however large, is ordered in one task.
 Its end is one key a source: the final pass joins only that small table and moves
 no text.
 """
@@ -59,6 +59,10 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return x.withColumn("target", F.when(F.col("knee").isNull(), F.col("cap")).otherwise(F.least("cap", filled))).select("source", "source_size", "weight", "target")
 
 
+#: Lengths of the key's heads (hexadecimal digits) by which the end of a prefix is sought.
+BUCKET_DIGITS = (2, 4)
+
+
 def _key(doc_id: str, seed: str) -> Column:
     """A seeded order of documents that any engine with MD5 can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
@@ -71,21 +75,24 @@ def plan_mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share
     source whose seeded key is at most ``last_key`` are taken once more than
     ``whole`` times.
     """
-    keyed = T.written(sizes.select("source", "size", _key("doc_id", seed).alias("key")).withColumn("bucket", F.substring("key", 1, 4)), "mix-sizes")
-    buckets = T.written(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
-    sources = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
+    keyed = T.written(sizes.select("source", "size", _key("doc_id", seed).alias("key")), "mix-sizes")
+    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
     targets = water_fill(sources, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = T.written(targets, "mix-targets")
-    # The bucket in which each source's prefix ends.
-    running = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
-    ends = buckets.withColumn("upto", running).alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    ends = ends.where(F.col("upto") - F.col("n") < F.col("need")).groupBy("t.source", "need").agg(F.max(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-    ends = T.written(ends.select("source", "need", "e.bucket", "e.before"), "mix-ends")
-    inside = keyed.alias("k").join(ends.alias("e"), F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k.bucket") == F.col("e.bucket")))
+    # The bucket in which each source's prefix ends, by ever longer heads of the key: 256 sums a source at each step.
+    ends = targets.select("source", "need", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for digits in BUCKET_DIGITS:
+        inside = keyed.alias("k").join(ends.alias("e"), same("k", "e") & F.col("k.key").startswith(F.col("e.bucket")))
+        sums = inside.groupBy("k.source", "need", "before", F.substring("k.key", 1, digits).alias("bucket")).agg(F.sum("size").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
+        sums = sums.withColumn("start", F.col("before") + upto - F.col("n")).where(F.col("start") < F.col("need"))
+        ends = T.written(sums.groupBy("source", "need").agg(F.max(F.struct("bucket", "start")).alias("e")).select("source", "need", "e.bucket", F.col("e.start").alias("before")), "mix-ends")
+    inside = keyed.alias("k").join(ends.alias("e"), same("k", "e") & F.col("k.key").startswith(F.col("e.bucket")))
     inside = inside.select("k.source", "key", "size", "need", "before")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
     # A document is in if its middle is: the prefix misses the need by half a document at most.
