@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import harmonics as H
 from ..functions import spectral as S
+from .lineage import cut
 
 
 def first_date(obs: DataFrame, date: str = "obs_date"):
@@ -114,3 +115,52 @@ def as_of_next(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str,
     found = both.withColumn("next", F.last("n_", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return found.where(F.col("n_").isNull()).select(*keys, F.col("d_").alias(at), F.col("next").alias(other))
 
+
+
+def irls_until(
+    df: DataFrame, keys: Sequence[str], y: str, harmonics: int = 2, max_iter: int = 10, tolerance: float = 0.05, percentile: float = 0.75, group: Sequence[str] = (), weight: Column | None = None,
+    callback: Callable[[int, list[tuple]], None] | None = None,
+) -> DataFrame:
+    """Robust fit with a stop rule for each group (window): ``keys, group, x_i_y, iterations``.
+
+    A group stops after the first iteration whose ``percentile`` of relative parameter
+    changes is below the tolerance; the first change is against the unweighted fit.
+    ``callback`` gets the iteration and up to a hundred groups' values.  Each iteration
+    is checkpointed in the shared folder, so plans stay small and lost executors cost nothing.
+    """
+    if harmonics < 1 or max_iter < 1:
+        raise ValueError("at least one harmonic and one iteration are needed")
+    n = 2 * harmonics + 1
+    xs = [f"x_{i}_y" for i in range(n)]
+    df = df.withColumn("group_", F.struct(*group) if group else F.lit(0))
+    by = Window.partitionBy("group_", *keys)
+    rows = df.select("group_", *keys, "t", F.coalesce(F.col(y), F.avg(y).over(by)).alias("filled"), F.when(F.col(y).isNull(), F.lit(0.0)).otherwise(weight if weight is not None else F.lit(1.0)).alias("w"))
+    # Filled gaps count in the starting fit and in sigma, but weigh nothing afterwards.
+    rows = cut(rows.withColumn("n_obs", F.count_if(F.col("w") > 0).over(by)))
+    a = H.basis(F.col("t"), harmonics)
+
+    def fit(x: DataFrame, w: Column) -> DataFrame:
+        sums = x.withColumn("w_", w).groupBy("group_", *keys, "n_obs").agg(*H.normal_sums(a, F.col("w_"), {"y": F.coalesce("filled", F.lit(0.0))}))
+        return H.solve(sums, n, ["y"], ["group_", *keys], F.col("n_obs") >= n)
+
+    old = cut(fit(rows, F.when(F.col("filled").isNull(), F.lit(0.0)).otherwise(F.lit(1.0))))
+    done = None
+    for k in range(1, max_iter + 1):
+        now = cut(fit(rows, F.col("w")))
+        before = old.select("group_", *keys, *[F.col(x).alias(f"old_{x}") for x in xs])
+        change = F.array(*[F.abs(F.col(x) - F.col(f"old_{x}")) / F.greatest(F.abs(F.col(f"old_{x}")), F.lit(1e-5)) for x in xs])
+        moved = now.join(before, ["group_", *keys]).select("group_", F.explode(change).alias("change"))
+        value = cut(moved.groupBy("group_").agg(F.percentile("change", F.lit(percentile)).alias("value")))
+        if callback:
+            callback(k, [(r["group_"], r["value"]) for r in value.limit(100).collect()])
+        stopped = value if k == max_iter else value.where(F.col("value") < tolerance)
+        out = now.join(stopped.select("group_"), "group_", "left_semi").withColumn("iterations", F.lit(k))
+        done = out if done is None else done.unionByName(out)
+        going = value.join(stopped.select("group_"), "group_", "left_anti").select("group_")
+        if k == max_iter or going.isEmpty():
+            break
+        x = rows.join(going, "group_", "left_semi").join(now, ["group_", *keys])
+        x = x.withColumn("residual", F.col("filled") - H.predict(a))
+        x = x.withColumn("w", F.col("w") * H.huber_weight(F.col("residual"), F.stddev_pop("residual").over(by)))
+        rows, old = cut(x.select("group_", *keys, "t", "filled", "w", "n_obs")), now
+    return done.select(*keys, *[F.col(f"group_.{g}").alias(g) for g in group], *xs, "iterations")

@@ -226,3 +226,17 @@ def test_encoded_classes(spark):
         inference.classify_encoded(x, mode="other")
     with pytest.raises(ValueError):
         harmonic.wls(obs, ["pixel_id"], ["b2"], 0)
+
+
+def test_stop_rule_for_each_window(spark):
+    rows = [(1, w, i / 40, 0.5 + 0.1 * math.cos(2 * math.pi * i / 40) + (2.0 if w and i % 11 == 0 else 0.0)) for w in (0, 1) for i in range(80)]
+    df = spark.createDataFrame(rows, "pixel_id long, win int, t double, y double")
+    seen, weight = [], F.when((F.col("win") == 1) & (F.col("t") < 1), F.lit(0.3)).otherwise(F.lit(1.0))
+    got = {r.win: r for r in harmonic.irls_until(df, ["pixel_id"], "y", 1, 8, 0.01, group=["win"], weight=weight, callback=lambda k, v: seen.append((k, len(v)))).collect()}
+    # With uniform weights the first solve repeats the starting fit, so the window stops at once.
+    assert got[0].iterations == 1 and 1 < got[1].iterations <= 8
+    assert [n for _, n in seen] == [2] + [1] * (len(seen) - 1) and len(seen) == got[1].iterations
+    same = harmonic.collapse(harmonic.irls(df.where("win = 1"), ["pixel_id"], "y", 1, got[1].iterations, weight), ["pixel_id"], 3).first()
+    assert all(abs(same[f"x_{i}_y"] - got[1][f"x_{i}_y"]) < 1e-9 for i in range(3))
+    whole = harmonic.irls_until(df, ["pixel_id", "win"], "y", 1, 1).collect()
+    assert len(whole) == 2 and "iterations" in whole[0].asDict()
