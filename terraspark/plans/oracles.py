@@ -297,7 +297,7 @@ SQL: dict[str, str] = {
         body="select t.r, t.c, g.prob from t left join v_grid g on g.r = floor((t.r + 0.5e0) * 1.5e0) and g.c = floor((t.c + 0.5e0) * 1.5e0)",
     ),
     "regrid_bilinear": _with("v_grid", body=_BILINEAR),
-    "central_window": _with("v_grid", ("z", "select max(r) + 1 as h from v_grid"), body="select r - (h - 32) // 2 as r, c - 9 as c, prob from v_grid, z where r >= (h - 32) // 2 and r < (h - 32) // 2 + 32 and c >= 9 and c < 41"),
+    "central_window": _with("v_grid", ("z", "select greatest((max(r) + 1 - 32) // 2, 0) as r0 from v_grid"), body="select r - r0 as r, c - 9 as c, prob from v_grid, z where r >= r0 and r < r0 + 32 and c >= 9 and c < 41"),
     "mosaic_union": _with(
         "v_grid", ("p", "select r, c, cls1 as v, c // 25 as priority from v_grid"),
         ("t", "select case when priority = 1 then 0 else 0 end + r as r, case when priority = 1 then c else c end as c, v, priority from p union all select r, c, (v + r) % 3, 2 from p where c >= 20 and c < 30"),

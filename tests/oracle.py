@@ -19,7 +19,7 @@ def views(directory: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool):
             return str(v)
