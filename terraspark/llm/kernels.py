@@ -3,7 +3,7 @@
 A word is a maximal run of bytes other than space and ``\\t\\n\\v\\f\\r``.  Word and
 window hashes are polynomial prefix sums modulo 2**64, so every window costs the
 same whatever its length, and no Python object is made per word.  The kernels
-work on chunks of about a megabyte of whole texts, which bounds their memory.
+work on chunks of half a megabyte of whole texts, which bounds their memory.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+#: A little under a power of two, the sizes in which the tables of powers grow.
+CHUNK_BYTES = (1 << 19) - 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F | 1

@@ -128,18 +128,22 @@ class Model:
 
 def _context_vectors(names: np.ndarray, forms: np.ndarray, first: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Normalised sums of the neighbours' index vectors for each slot, and which slots occurred."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    total = np.zeros((slots, DIM), np.float32)
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    pairs = []
     for gap in NEIGHBOURS:
-        if len(names) <= gap:
-            continue
-        both = row[:-gap] == row[gap:]
-        for at, near in ((names[:-gap][both], forms[gap:][both]), (names[gap:][both], forms[:-gap][both])):
-            # Count (slot, neighbour's form) pairs, then add index vectors once a pair.
-            pair, n = np.unique(at * FORMS + near, return_counts=True)
-            cut = np.flatnonzero(np.r_[True, (pair[1:] // FORMS) != (pair[:-1] // FORMS)]) if len(pair) else np.empty(0, np.int64)
-            if len(cut):
-                total[pair[cut] // FORMS] += np.add.reduceat(_FORM_INDEX[pair % FORMS] * n[:, None], cut, axis=0)
+        if len(names) > gap:
+            both = np.flatnonzero(row[:-gap] == row[gap:])
+            pairs += [(names[both] * FORMS + forms[both + gap]).astype(np.int32), (names[both + gap] * FORMS + forms[both]).astype(np.int32)]
+    pair = np.concatenate(pairs) if pairs else np.empty(0, np.int32)
+    del row, pairs
+    pair.sort()
+    total, step = np.zeros((slots, DIM), np.float32), 512
+    # Counts of (slot, neighbour's form) pairs times the forms' index vectors, some slots at a time.
+    for a in range(0, slots, step):
+        low, high = np.searchsorted(pair, [a * FORMS, min(a + step, slots) * FORMS])
+        if high > low:
+            counts = np.bincount(pair[low:high] - a * FORMS, minlength=step * FORMS).reshape(step, FORMS).astype(np.float32)
+            total[a : a + step] = (counts @ _FORM_INDEX)[: slots - a]
     known = np.bincount(names, minlength=slots) > 0
     return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6), known
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 20) - 1024
 _paths: list[str] = []
 
 
