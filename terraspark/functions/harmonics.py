@@ -24,38 +24,45 @@ def basis(t: Column, harmonics: int) -> list[Column]:
     return [*out, F.lit(1.0)]
 
 
-def normal_sums(a: Sequence[Column], w: Column, ys: dict[str, Column]) -> list[Column]:
-    """Aggregates ``m_i_j`` = sum w a_i a_j and ``r_i_name`` = sum w a_i y."""
-    n = len(a)
-    out = [F.sum(w * a[i] * a[j]).alias(f"m_{i}_{j}") for i in range(n) for j in range(i + 1)]
-    out += [F.sum(w * a[i] * y).alias(f"r_{i}_{name}") for name, y in ys.items() for i in range(n)]
-    return out
+def with_basis(df: DataFrame, harmonics: int, t: str = "t") -> DataFrame:
+    """Adds the basis at ``t`` as columns ``a_0`` to ``a_2H``."""
+    return df.withColumns({f"a_{i}": x for i, x in enumerate(basis(F.col(t), harmonics))})
 
 
-def solve(df: DataFrame, n: int, names: Sequence[str], keep: Sequence[str], enough: Column) -> DataFrame:
+def normal_sums(n: int, w: str, ys: dict[str, str]) -> dict[str, str]:
+    """SQL aggregates ``m_i_j`` = sum w a_i a_j and ``r_i_name`` = sum w a_i y over the basis columns.
+
+    Statements rather than column objects: one call a sum, not one an operation.
+    """
+    out = {f"m_{i}_{j}": f"sum({w} * a_{i} * a_{j})" for i in range(n) for j in range(i + 1)}
+    return out | {f"r_{i}_{name}": f"sum({w} * a_{i} * {y})" for name, y in ys.items() for i in range(n)}
+
+
+def solve(df: DataFrame, n: int, names: Sequence[str], keep: Sequence[str], enough: str) -> DataFrame:
     """``x_i_name`` of the normal equations in ``df``, 0 where ``enough`` is false or a pivot vanishes.
 
     Each elimination step is one projection, so that a step's columns are computed once.
     The added zero counts as non-deterministic: it keeps the optimizer from copying the
     whole solver into each later filter.  Filter keys before the fit, not after.
     """
-    c = F.col
-    zero = F.spark_partition_id() * F.lit(0.0)
     for k in range(n):
         later = range(k + 1, n)
-        pivot = F.nullif(c(f"m_{k}_{k}"), F.lit(0.0))
+        pivot = f"nullif(m_{k}_{k}, 0D)"
         step = {f"d_{k}": pivot}
-        step |= {f"l_{i}_{k}": c(f"m_{i}_{k}") / pivot for i in later}
-        step |= {f"m_{i}_{j}": c(f"m_{i}_{j}") - c(f"m_{i}_{k}") * c(f"m_{j}_{k}") / pivot for i in later for j in range(k + 1, i + 1)}
-        step |= {f"r_{i}_{y}": c(f"r_{i}_{y}") - c(f"m_{i}_{k}") * c(f"r_{k}_{y}") / pivot for y in names for i in later}
-        df = df.withColumns(step)
+        step |= {f"l_{i}_{k}": f"m_{i}_{k} / {pivot}" for i in later}
+        step |= {f"m_{i}_{j}": f"m_{i}_{j} - m_{i}_{k} * m_{j}_{k} / {pivot}" for i in later for j in range(k + 1, i + 1)}
+        step |= {f"r_{i}_{y}": f"r_{i}_{y} - m_{i}_{k} * r_{k}_{y} / {pivot}" for y in names for i in later}
+        df = df.withColumns({c: F.expr(e) for c, e in step.items()})
     for k in reversed(range(n)):
-        df = df.withColumns({f"x_{k}_{y}": c(f"r_{k}_{y}") / c(f"d_{k}") - sum((c(f"l_{i}_{k}") * c(f"x_{i}_{y}") for i in range(k + 1, n)), F.lit(0.0)) for y in names})
-    return df.select(*keep, *[(F.when(enough, F.coalesce(f"x_{i}_{y}", F.lit(0.0))).otherwise(F.lit(0.0)) + zero).alias(f"x_{i}_{y}") for y in names for i in range(n)])
+        back = {f"x_{k}_{y}": f"r_{k}_{y} / d_{k}" + "".join(f" - l_{i}_{k} * x_{i}_{y}" for i in range(k + 1, n)) for y in names}
+        df = df.withColumns({c: F.expr(e) for c, e in back.items()})
+    xs = [f"x_{i}_{y}" for y in names for i in range(n)]
+    return df.select(*keep, *[F.expr(f"if({enough}, coalesce({x}, 0D), 0D) + spark_partition_id() * 0D as {x}") for x in xs])
 
 
-def predict(a: Sequence[Column], name: str = "y") -> Column:
-    return sum((x * F.col(f"x_{i}_{name}") for i, x in enumerate(a)), F.lit(0.0))
+def predict(n: int, name: str = "y") -> Column:
+    """The fitted value from the basis columns."""
+    return F.expr(" + ".join(f"a_{i} * x_{i}_{name}" for i in range(n)))
 
 
 def amplitude(k: int, name: str = "y") -> Column:

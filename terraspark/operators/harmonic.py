@@ -33,12 +33,10 @@ def wls(df: DataFrame, keys: Sequence[str], ys: Sequence[str], harmonics: int =
         raise ValueError("at least one harmonic is needed")
     n = 2 * harmonics + 1
     w = F.when(S.any_null(ys), F.lit(0.0)).otherwise(weight if weight is not None else F.lit(1.0))
-    df = df.withColumn("w_", w)
-    a = H.basis(F.col("t"), harmonics)
-    sums = df.groupBy(*keys).agg(
-        *H.normal_sums(a, F.col("w_"), {y: F.coalesce(F.col(y), F.lit(0.0)) for y in ys}), F.count_if(F.col("w_") > 0).alias("n_obs")
-    )
-    return H.solve(sums, n, ys, [*keys, "n_obs"], F.col("n_obs") >= n)
+    df = H.with_basis(df.withColumn("w_", w), harmonics)
+    sums = H.normal_sums(n, "w_", {y: f"coalesce({y}, 0D)" for y in ys})
+    sums = df.groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in sums.items()], F.count_if(F.col("w_") > 0).alias("n_obs"))
+    return H.solve(sums, n, ys, [*keys, "n_obs"], f"n_obs >= {n}")
 
 
 def parameters(fitted: DataFrame, keys: Sequence[str], harmonics: int, name: str = "y", extra: Sequence[str] = ()) -> DataFrame:
@@ -63,22 +61,19 @@ def irls(df: DataFrame, keys: Sequence[str], y: str, harmonics: int = 2, iterati
         "w": F.when(F.col(y).isNull(), F.lit(0.0)).otherwise(weight if weight is not None else F.lit(1.0)),
     })
     df = df.withColumn("n_obs", F.count_if(F.col("w") > 0).over(by))
-    a = H.basis(F.col("t"), harmonics)
     base = [c for c in df.columns if c != "w"]
-    df = df.withColumns({f"a_{i}": x for i, x in enumerate(a)})
-    a = [F.col(f"a_{i}") for i in range(n)]
-    old = None
+    df, a, old = H.with_basis(df, harmonics), [f"a_{i}" for i in range(n)], []
+    over = "over (partition by " + ", ".join(f"`{k}`" for k in keys) + ")"
     for _ in range(iterations):
-        sums = {f"m_{i}_{j}": F.sum(F.col("w") * a[i] * a[j]).over(by) for i in range(n) for j in range(i + 1)}
-        sums |= {f"r_{i}_y": F.sum(F.col("w") * a[i] * F.col("filled")).over(by) for i in range(n)}
-        solved = H.solve(df.withColumns(sums), n, ["y"], [*base, "w", *[f"a_{i}" for i in range(n)], *([f"old_{i}" for i in range(n)] if old else [])], F.col("n_obs") >= n)
-        solved = solved.withColumn("residual", F.col("filled") - H.predict(a))
+        sums = {c: F.expr(f"{e} {over}") for c, e in H.normal_sums(n, "w", {"y": "filled"}).items()}
+        solved = H.solve(df.withColumns(sums), n, ["y"], [*base, "w", *a, *old], f"n_obs >= {n}")
+        solved = solved.withColumn("residual", F.col("filled") - H.predict(n))
         solved = solved.withColumn("sigma", F.stddev_pop("residual").over(by))
-        df = solved.withColumns({"w_before": F.col("w"), "w": F.col("w") * H.huber_weight(F.col("residual"), F.col("sigma"))})
+        step = {"w": F.col("w") * H.huber_weight(F.col("residual"), F.col("sigma"))}
         if old:
-            df = df.withColumns({f"change_{i}": F.abs(F.col(f"x_{i}_y") - F.col(f"old_{i}")) / F.greatest(F.abs(F.col(f"old_{i}")), F.lit(1e-5)) for i in range(n)})
-        df = df.withColumns({f"old_{i}": F.col(f"x_{i}_y") for i in range(n)})
-        old = True
+            step |= {f"change_{i}": F.expr(f"abs(x_{i}_y - old_{i}) / greatest(abs(old_{i}), 1e-5D)") for i in range(n)}
+        df = solved.withColumns(step).withColumns({f"old_{i}": F.col(f"x_{i}_y") for i in range(n)})
+        old = [f"old_{i}" for i in range(n)]
     return df
 
 
@@ -137,11 +132,11 @@ def irls_until(
     rows = df.select("group_", *keys, "t", F.coalesce(F.col(y), F.avg(y).over(by)).alias("filled"), F.when(F.col(y).isNull(), F.lit(0.0)).otherwise(weight if weight is not None else F.lit(1.0)).alias("w"))
     # Filled gaps count in the starting fit and in sigma, but weigh nothing afterwards.
     rows = cut(rows.withColumn("n_obs", F.count_if(F.col("w") > 0).over(by)))
-    a = H.basis(F.col("t"), harmonics)
 
     def fit(x: DataFrame, w: Column) -> DataFrame:
-        sums = x.withColumn("w_", w).groupBy("group_", *keys, "n_obs").agg(*H.normal_sums(a, F.col("w_"), {"y": F.coalesce("filled", F.lit(0.0))}))
-        return H.solve(sums, n, ["y"], ["group_", *keys], F.col("n_obs") >= n)
+        sums = H.normal_sums(n, "w_", {"y": "coalesce(filled, 0D)"})
+        sums = H.with_basis(x.withColumn("w_", w), harmonics).groupBy("group_", *keys, "n_obs").agg(*[F.expr(e).alias(c) for c, e in sums.items()])
+        return H.solve(sums, n, ["y"], ["group_", *keys], f"n_obs >= {n}")
 
     old = cut(fit(rows, F.when(F.col("filled").isNull(), F.lit(0.0)).otherwise(F.lit(1.0))))
     done = None
@@ -160,7 +155,7 @@ def irls_until(
         if k == max_iter or going.isEmpty():
             break
         x = rows.join(going, "group_", "left_semi").join(now, ["group_", *keys])
-        x = x.withColumn("residual", F.col("filled") - H.predict(a))
+        x = H.with_basis(x, harmonics).withColumn("residual", F.col("filled") - H.predict(n))
         x = x.withColumn("w", F.col("w") * H.huber_weight(F.col("residual"), F.stddev_pop("residual").over(by)))
         rows, old = cut(x.select("group_", *keys, "t", "filled", "w", "n_obs")), now
     return done.select(*keys, *[F.col(f"group_.{g}").alias(g) for g in group], *xs, "iterations")

@@ -17,13 +17,13 @@ def folded_sums(obs: DataFrame, t0, y: str = "ndvi", harmonics: int = 2) -> Data
     """Sums of each pixel over a static or streaming table of raw observations."""
     x = S.with_indices(S.to_reflectance(obs.withColumn("t", H.year_fraction(F.col("obs_date"), F.lit(t0).cast("date")))))
     x = x.withColumn("w_", F.when(F.col(y).isNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
-    a = H.basis(F.col("t"), harmonics)
-    return x.groupBy("pixel_id").agg(*H.normal_sums(a, F.col("w_"), {y: F.coalesce(F.col(y), F.lit(0.0))}), F.count_if(F.col("w_") > 0).alias("n_obs"))
+    sums = H.normal_sums(2 * harmonics + 1, "w_", {y: f"coalesce({y}, 0D)"})
+    return H.with_basis(x, harmonics).groupBy("pixel_id").agg(*[F.expr(e).alias(c) for c, e in sums.items()], F.count_if(F.col("w_") > 0).alias("n_obs"))
 
 
 def fit(sums: DataFrame, y: str = "ndvi", harmonics: int = 2) -> DataFrame:
     n = 2 * harmonics + 1
-    return H.solve(sums, n, [y], ["pixel_id", "n_obs"], F.col("n_obs") >= n)
+    return H.solve(sums, n, [y], ["pixel_id", "n_obs"], f"n_obs >= {n}")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
