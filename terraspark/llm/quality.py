@@ -25,7 +25,7 @@ WORD_BITS = 15
 FORMS = 1024
 NEIGHBOURS = (1, 2)
 #: Labelled documents used for fitting, at most.
-TRAIN_LIMIT = 4000
+TRAIN_LIMIT = 2000
 THRESHOLD = 0.3
 
 _UPPER = np.zeros(256, np.uint8)
@@ -151,10 +151,15 @@ def _context_vectors(names: np.ndarray, forms: np.ndarray, first: np.ndarray, sl
 def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: int = 1500, seed: int = 0) -> Model:
     """Word vectors from the texts, then the network by Adam; a fifth of the rows sets the temperature."""
     raw, offsets = K.texts_of(pa.array(texts, pa.large_string()))
-    pieces = [(lambda o: tokens(raw[o[0] : o[-1]], o - o[0]))(offsets[a : b + 1]) for a, b in K.chunked(offsets)]
-    empty = np.empty(0, np.int64)
+    pieces = []
+    for a, b in K.chunked(offsets):
+        o = offsets[a : b + 1]
+        w, f, begin = tokens(raw[o[0] : o[-1]], o - o[0])
+        pieces.append((w.astype(np.int32), f.astype(np.int32), np.diff(begin)))
+    empty = np.empty(0, np.int32)
     words, forms = (np.concatenate([p[i] for p in pieces] or [empty]) for i in range(2))
-    first = np.cumsum(np.concatenate([[0], *(np.diff(p[2]) for p in pieces)])).astype(np.int64)
+    first = np.cumsum(np.concatenate([[0], *(p[2] for p in pieces)])).astype(np.int64)
+    del pieces
     word_vectors, known = _context_vectors(words, forms, first, 1 << WORD_BITS)
     form_vectors, _ = _context_vectors(forms, forms, first, FORMS)
     rng = np.random.default_rng(seed)
