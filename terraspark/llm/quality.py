@@ -3,9 +3,10 @@
 Each token has two names: its word (letters in lower case) and its form (case,
 digits, trailing signs, whether it repeats the token before).  A name's index
 vector is sparse and ternary and follows from its hash alone.  A word's vector is
-the sum of the index vectors of the names around it in the training texts; a word
-that never occurred there falls back on its form.  A text is the mean of its
-tokens' vectors.  The network has one hidden layer, and its logit is divided by a
+the sum of the index vectors of the words around it in the training texts, beside
+that of their forms; words are told apart by 64-bit hashes, and one that never
+occurred there falls back on its form's vector.  A text is the mean of its tokens'
+vectors, beside the mean of its forms' index vectors.  The network has one hidden layer, and its logit is divided by a
 temperature fitted on rows kept out of training, so scores are probabilities.
 """
 
@@ -21,9 +22,10 @@ from . import kernels as K
 from . import samples
 
 DIM = 48
-WORD_BITS = 15
 FORMS = 1024
-NEIGHBOURS = (1, 2)
+NEIGHBOURS = (-2, -1, 1, 2)
+#: Tokens whose neighbours are summed at a time.
+BLOCK = 1 << 14
 #: Labelled documents used for fitting, at most.
 TRAIN_LIMIT = 2000
 THRESHOLD = 0.3
@@ -55,10 +57,10 @@ _FORM_INDEX = index_vectors(np.arange(FORMS) + (1 << 40))
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot and form of each token, and the index of each row's first token."""
+    """Word hash and form of each token, and the index of each row's first token."""
     starts, ends, first = K.word_bounds(raw, offsets)
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), first
+        return np.empty(0, K.U64), np.empty(0, np.int64), first
     words = K.word_hashes(raw, starts, ends, lower=True)
 
     def count(of: np.ndarray) -> np.ndarray:
@@ -78,14 +80,15 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     same[first[:-1][first[:-1] < len(words)]] = 0
     # 4 * 3 * 4 * 9 * 2 = 864 forms
     form = (((case * 3 + kind) * 4 + signs) * 9 + _LAST[raw[ends - 1]]) * 2 + same
-    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), form, first
+    return words, form, first
 
 
 @dataclass
 class Model:
-    word_vectors: np.ndarray
+    #: Sorted hashes of the words of the training texts.
     known: np.ndarray
-    form_vectors: np.ndarray
+    #: A row for each known word, then one for each form.
+    vectors: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -94,19 +97,26 @@ class Model:
     b2: float
     temperature: float
 
+    def rows_of(self, words: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        """Row of each token in the vectors: its word's, or its form's where the word is unknown."""
+        out = len(self.known) + forms
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+            found = self.known[at] == words
+            out[found] = at[found]
+        return out
+
     def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, forms, first = tokens(raw, offsets)
         counts = np.diff(first)
-        out = np.zeros((len(counts), 2 * DIM), np.float32)
+        out = np.zeros((len(counts), 3 * DIM), np.float32)
         rows = np.flatnonzero(counts)
         if len(rows):
-            vectors = self.word_vectors[words]
-            lost = ~self.known[words]
-            vectors[lost] = self.form_vectors[forms[lost]]
-            out[rows, :DIM] = np.add.reduceat(vectors, first[rows], axis=0) / counts[rows, None]
+            vectors = self.vectors[self.rows_of(words, forms)]
+            out[rows, : 2 * DIM] = np.add.reduceat(vectors, first[rows], axis=0, dtype=np.float32) / counts[rows, None]
             # Forms are few: pool them by their counts.
             place = np.repeat(np.arange(len(counts)), counts) * FORMS + forms
-            out[:, DIM:] = np.bincount(place, minlength=len(counts) * FORMS).reshape(-1, FORMS).astype(np.float32) @ _FORM_INDEX / np.maximum(counts, 1)[:, None]
+            out[:, 2 * DIM :] = np.bincount(place, minlength=len(counts) * FORMS).reshape(-1, FORMS).astype(np.float32) @ _FORM_INDEX / np.maximum(counts, 1)[:, None]
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -126,26 +136,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out / self.temperature, -30, 30)))
 
 
-def _context_vectors(names: np.ndarray, forms: np.ndarray, first: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised sums of the neighbours' index vectors for each slot, and which slots occurred."""
+def _context_vectors(names: np.ndarray, words: np.ndarray, forms: np.ndarray, first: np.ndarray, slots: int, word_index: np.ndarray) -> np.ndarray:
+    """Normalised sums of the neighbours' word and form index vectors for each of ``slots`` names."""
     row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    pairs = []
-    for gap in NEIGHBOURS:
-        if len(names) > gap:
-            both = np.flatnonzero(row[:-gap] == row[gap:])
-            pairs += [(names[both] * FORMS + forms[both + gap]).astype(np.int32), (names[both + gap] * FORMS + forms[both]).astype(np.int32)]
-    pair = np.concatenate(pairs) if pairs else np.empty(0, np.int32)
-    del row, pairs
-    pair.sort()
-    total, step = np.zeros((slots, DIM), np.float32), 512
-    # Counts of (slot, neighbour's form) pairs times the forms' index vectors, some slots at a time.
-    for a in range(0, slots, step):
-        low, high = np.searchsorted(pair, [a * FORMS, min(a + step, slots) * FORMS])
-        if high > low:
-            counts = np.bincount(pair[low:high] - a * FORMS, minlength=step * FORMS).reshape(step, FORMS).astype(np.float32)
-            total[a : a + step] = (counts @ _FORM_INDEX)[: slots - a]
-    known = np.bincount(names, minlength=slots) > 0
-    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6), known
+    total = np.zeros((slots, 2 * DIM), np.float16)
+    order = np.argsort(names, kind="stable")
+    # A name's tokens may go on in the next block: the last sum is carried over and its row written again.
+    last, carried = -1, np.zeros(2 * DIM, np.float32)
+    for a in range(0, len(order), BLOCK):
+        at = order[a : a + BLOCK]
+        near = np.zeros((len(at), 2 * DIM), np.float32)
+        for gap in NEIGHBOURS:
+            here = np.flatnonzero((at + gap >= 0) & (at + gap < len(row)))
+            here = here[row[at[here]] == row[at[here] + gap]]
+            near[here, :DIM] += word_index[words[at[here] + gap]]
+            near[here, DIM:] += _FORM_INDEX[forms[at[here] + gap]]
+        found = names[at]
+        begin = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        sums = np.add.reduceat(near, begin, axis=0)
+        if found[0] == last:
+            sums[0] += carried
+        last, carried = found[-1], sums[-1].copy()
+        for half in (slice(0, DIM), slice(DIM, 2 * DIM)):
+            total[found[begin], half] = sums[:, half] / np.maximum(np.linalg.norm(sums[:, half], axis=1, keepdims=True), 1e-6)
+    return total
 
 
 def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: int = 1500, seed: int = 0) -> Model:
@@ -155,16 +169,22 @@ def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: in
     for a, b in K.chunked(offsets):
         o = offsets[a : b + 1]
         w, f, begin = tokens(raw[o[0] : o[-1]], o - o[0])
-        pieces.append((w.astype(np.int32), f.astype(np.int32), np.diff(begin)))
-    empty = np.empty(0, np.int32)
-    words, forms = (np.concatenate([p[i] for p in pieces] or [empty]) for i in range(2))
+        pieces.append((w, f.astype(np.int16), np.diff(begin)))
+    empty = np.empty(0, K.U64), np.empty(0, np.int16)
+    hashes, forms = (np.concatenate([p[i] for p in pieces] or [empty[i]]) for i in range(2))
     first = np.cumsum(np.concatenate([[0], *(p[2] for p in pieces)])).astype(np.int64)
     del pieces
-    word_vectors, known = _context_vectors(words, forms, first, 1 << WORD_BITS)
-    form_vectors, _ = _context_vectors(forms, forms, first, FORMS)
+    known, words = np.unique(hashes, return_inverse=True)
+    del hashes
+    words = words.astype(np.int32)
+    word_index = np.zeros((len(known), DIM), np.int8)
+    for a in range(0, len(known), BLOCK):
+        word_index[a : a + BLOCK] = index_vectors(known[a : a + BLOCK])
+    vectors = np.concatenate([_context_vectors(n, words, forms, first, slots, word_index) for n, slots in ((words, len(known)), (forms, FORMS))])
+    del word_index, words, forms
     rng = np.random.default_rng(seed)
-    w1, w2 = rng.normal(0, (2 * DIM) ** -0.5, (2 * DIM, hidden)), rng.normal(0, hidden**-0.5, hidden)
-    model = Model(word_vectors, known, form_vectors, np.zeros(2 * DIM), np.ones(2 * DIM), w1, np.zeros(hidden), w2, 0.0, 1.0)
+    w1, w2 = rng.normal(0, (3 * DIM) ** -0.5, (3 * DIM, hidden)), rng.normal(0, hidden**-0.5, hidden)
+    model = Model(known, vectors, np.zeros(3 * DIM), np.ones(3 * DIM), w1, np.zeros(hidden), w2, 0.0, 1.0)
     if not len(labels):
         return model
     x = np.concatenate([model.pooled(raw[o[0] : o[-1]], o - o[0]) for a, b in K.chunked(offsets, 1 << 19) for o in [offsets[a : b + 1]]]).astype(np.float64)

@@ -285,6 +285,30 @@ def test_quality_learns_forms(spark, empty):
     assert quality.score(empty, lab, fold != 0).count() == 0
 
 
+def test_quality_learns_vocabulary(spark):
+    rng = random.Random(8)
+    # Equal layout: five lower-case letters a word, the two vocabularies drawn from one alphabet.
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(600)]
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, " ".join(rng.choices(vocabulary[i % 2 :: 2], k=rng.randrange(20, 80))))), labels.append((i, i % 2))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    fold = samples.remainder("doc_id", 5)
+    got = {r.doc_id: r for r in quality.score(docs, lab, fold != 0).withColumn("fold", fold).collect()}
+    held = [(got[i].score >= 0.5) == bool(q) for i, q in labels if got[i].fold == 0]
+    assert np.mean(held) > 0.97
+
+
+def test_quality_knows_words_by_whole_hash():
+    rng = random.Random(9)
+    texts = [prose(rng, 2000, 10**6) for _ in range(20)]
+    model = quality.fit(texts, np.arange(20) % 2.0)
+    words = {w for t in texts for w in t.split()}
+    assert len(model.known) == len(words) > 1 << 15
+    hashes, forms, _ = quality.tokens(*quality.K.texts_of(pa.array(["w1 never2seen", "w2 never3seen"])))
+    assert model.rows_of(hashes, forms)[[1, 3]].tolist() == (len(words) + forms[[1, 3]]).tolist()
+
+
 def test_language(spark, empty):
     rng = random.Random(7)
     parts = {"xx": ["the", "ing", "tion", "of", "er"], "yy": ["öß", "sch", "ung", "der", "ei"]}
