@@ -15,10 +15,11 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, wanted: Column
     """Texts and labels of at most ``limit`` labelled rows, chosen by a hash of the key, as a pandas frame in key order.
 
     ``wanted`` says which rows may be learned from.  Null labels and labels of
-    documents that don't exist are left out; of repeated rows one is used.
+    documents that don't exist are left out; of a key's repeated rows the largest text is used.
     """
     ids = labels.where(wanted & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     # At most ``limit`` rows of 12 bytes, so the broadcast is bounded.
     ids = ids.orderBy(F.xxhash64(key), key).limit(limit)
-    rows = documents.select(key, text).join(F.broadcast(ids), key).limit(2 * limit).toPandas()
-    return rows.drop_duplicates(key).sort_values(key).reset_index(drop=True)
+    # One row a key, so at most ``limit`` texts reach the driver however often a key is repeated.
+    rows = documents.select(key, text).join(F.broadcast(ids), key).groupBy(key).agg(F.max(text).alias(text), F.max("label").alias("label"))
+    return rows.toPandas().sort_values(key).reset_index(drop=True)

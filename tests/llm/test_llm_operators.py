@@ -309,6 +309,16 @@ def test_quality_knows_words_by_whole_hash():
     assert model.rows_of(hashes, forms)[[1, 3]].tolist() == (len(words) + forms[[1, 3]]).tolist()
 
 
+def test_sample_survives_a_repeated_key(spark):
+    rows = [(0, f"copy {i:03d}") for i in range(400)] + [(i, f"text {i}") for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    got = samples.labelled(docs, lab, "quality", samples.F.lit(True), 30)
+    assert got.doc_id.tolist() == list(range(30)) and got.label.tolist() == [i % 2 for i in range(30)]
+    assert got.text.tolist() == ["copy 399", *(f"text {i}" for i in range(1, 30))]
+    assert len(samples.labelled(docs, lab, "quality", samples.F.lit(True), 7)) == 7
+
+
 def test_language(spark, empty):
     rng = random.Random(7)
     parts = {"xx": ["the", "ing", "tion", "of", "er"], "yy": ["öß", "sch", "ung", "der", "ei"]}
