@@ -309,6 +309,8 @@ SQL: dict[str, str] = {
     "dilate_disk": _with("v_grid", _CLEAR, ("w", _dilate(5)), body="select r, c, clear, dilated from w"),
     "mean_disk": _with("v_grid", ("m", _mean(7, "v_grid", "prob")), body="select m.r, m.c, v_grid.prob, m.mean from m join v_grid on v_grid.r = m.r and v_grid.c = m.c"),
     "qa_weights_flg": _with("v_grid", _CLEAR, ("w", f"select r, c, flg, dilated * 255 as b from ({_dilate(2)})"), ("m", _mean(7, "w", "b")), body="select m.r, m.c, w.flg, round(m.mean / 255e0, 6) as weight from m join w on w.r = m.r and w.c = m.c"),
+    "mean_disk_20": _with("v_grid", ("m", _mean(20, "v_grid", "prob")), body="select m.r, m.c, v_grid.prob, m.mean from m join v_grid on v_grid.r = m.r and v_grid.c = m.c"),
+    "qa_weights_5_25": _with("v_grid", _CLEAR, ("w", f"select r, c, flg, dilated * 255 as b from ({_dilate(5)})"), ("m", _mean(25, "w", "b")), body="select m.r, m.c, w.flg, round(m.mean / 255e0, 6) as weight from m join w on w.r = m.r and w.c = m.c"),
     "bbox_intersect_join": _with("v_box", body="select a.seq as a_seq, b.seq as b_seq from v_box a join v_box b on a.seq < b.seq and a.x0 <= b.x1 and a.x1 >= b.x0 and a.y0 <= b.y1 and a.y1 >= b.y0"),
     "rasterize_boxes": _with("v_box", body="select y.r::int as r, x.c::int as c, max_by(value, seq) as value from v_box, unnest(range(greatest(y0, 0), least(y1, 35))) y(r), unnest(range(greatest(x0, 0), least(x1, 45))) x(c) group by 1, 2"),
     "dissolve_first": _with("v_box", body="select seq % 7 as key, min_by(value, seq) as value, min(x0) as x0, max(x1) as x1, min(y0) as y0, max(y1) as y1, count(*) as parts from v_box group by 1"),

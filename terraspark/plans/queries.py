@@ -404,6 +404,17 @@ def qa_weights_flg(spark, d):
     return _rounded(neighbourhood.qa_weights(X.grid(spark, d).select("r", "c", "flg"), dilation=2, mean=7))
 
 
+def mean_disk_20(spark, d):
+    """The mean filter at the reference's default radius."""
+    x = X.grid(spark, d).select("r", "c", "prob")
+    return neighbourhood.mean_disk(x, "prob", "mean")
+
+
+def qa_weights_5_25(spark, d):
+    """The weights at the reference's fixed radii of 5 and 25."""
+    return _rounded(neighbourhood.qa_weights(X.grid(spark, d).select("r", "c", "flg")))
+
+
 # --- vectors
 
 
@@ -528,7 +539,7 @@ _LIST = [
     coverage_global, agreement_by_region_rollup, agreement_by_region_windowed, comparison_two_maps, metrics_long, class_dictionary, unmapped_values_anti, band_stats_by_date, band_identification,
     index_histogram, phase_amplitude_hist2d, percentile_stretch, minmax_normalise, value_counts, tile_catalog_regex, timeseries_catalog, paired_files_join, filename_dates, asof_next_date,
     remaining_tiles, progress, config_json_roundtrip, winter_middle_date, cube_validation, window_tiling, tiling_covers_extent, evenly_spaced_windows, common_extent, regrid_nearest, regrid_bilinear,
-    central_window, mosaic_union, crs_transform, gaussian_smooth, gradient_aspect, hillshade, dilate_disk, mean_disk, qa_weights_flg, bbox_intersect_join, rasterize_boxes, dissolve_first,
+    central_window, mosaic_union, crs_transform, gaussian_smooth, gradient_aspect, hillshade, dilate_disk, mean_disk, qa_weights_flg, mean_disk_20, qa_weights_5_25, bbox_intersect_join, rasterize_boxes, dissolve_first,
     file_screening, geojson_bbox, elevation_default_join, tile_metadata, tile_containment, first_reference_file, screening_counts, series_guards, joint_range, canopy_mask,
     nearest_data_window, dem_build, encoded_features, classify_encoded, rf_score_ml, stream_fold, period_counts,
 ]

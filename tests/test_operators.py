@@ -9,7 +9,7 @@ from terraspark.functions import codec
 from terraspark.functions import harmonics as H
 from terraspark.functions import spectral as S
 from terraspark.operators import catalog, compare, grid, harmonic, model, neighbourhood, state, stats, vector
-from terraspark.plans import inference
+from terraspark.plans import inference, queries
 from terraspark.sources import configs, rasters
 
 
@@ -86,6 +86,25 @@ def test_disks_equal_brute_force(spark):
         assert x.wide == max(a[p] > 230 for p in at(2))
 
 
+def test_registered_weights_have_the_reference_footprint(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n, m = 60, 56
+    # Mostly flagged, so that the dilated clear area leaves holes.
+    flg, prob = np.where(rng.random((n, m)) < 0.006, 0, rng.integers(1, 4, (n, m))), rng.integers(0, 256, (n, m))
+    df = spark.createDataFrame([(r, c, int(flg[r, c]), int(prob[r, c])) for r in range(n) for c in range(m)], "r int, c int, flg int, prob int")
+    monkeypatch.setattr(queries.X, "grid", lambda spark, d: df)
+    rows, cols = np.mgrid[:n, :m]
+    disk = lambda r, c, k: (rows - r) ** 2 + (cols - c) ** 2 <= k * k
+    wide = np.array([[255 * (flg[disk(r, c, 5)] == 0).any() for c in range(m)] for r in range(n)])
+    assert 0 < (wide == 0).mean() < 1
+    for x in queries.qa_weights_5_25(spark, "").collect():
+        near = wide[disk(x.r, x.c, 25)]
+        assert x.weight == round(near.sum() // near.size / 255, 6)
+    for x in queries.mean_disk_20(spark, "").collect():
+        near = prob[disk(x.r, x.c, 20)]
+        assert x["mean"] == near.sum() // near.size
+
+
 def test_bilinear_keeps_a_plane(spark):
     df = spark.createDataFrame([(r, c, 2.0 * r + c) for r in range(20) for c in range(20)], "r int, c int, v double")
     out = grid.regrid_bilinear(df, "v", grid.target_grid(spark, 9, 9), 2.0).toPandas()
