@@ -1,7 +1,8 @@
 """Connected components of a link table: alternating large-star and small-star steps.
 
-Both steps are a grouped minimum joined back, so a hub with any number of links is
-never gathered in one task.  Each round is written to the shared folder.
+Both steps are a grouped minimum joined back; a hub's edges are joined by broadcast
+(``tables.joined``), so that however many links it has they are never gathered in
+one task.  Each step is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,26 +14,28 @@ from . import tables as T
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges ``(u, v)`` with u > v after one step."""
+    """Edges ``(u, v)`` with u > v after one step; ``edges`` is a written table."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = T.joined(both, low, "u", "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        out = T.joined(edges, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return T.written(out.where(F.col("u") != F.col("v")).distinct(), "stars")
 
 
-def smallest_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(id, component)`` of every id in ``links`` (u, v) but the components' own smallest ids."""
+def smallest_reachable(links: DataFrame) -> DataFrame:
+    """``(id, component)`` of every id in ``links`` (u, v) but the components' own smallest ids.
+
+    Runs to the fixed point.  Links of an id with itself and repeated links change nothing.
+    """
     edges = T.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
-        edges = T.written(_star(_star(edges, large=True), large=False), "stars")
+    while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         # At the fixed point each id has one edge, to the smallest id it reaches.
-        if now == mark:
-            break
+        if now == mark or not now[0]:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        edges = _star(_star(edges, large=True), large=False)

@@ -2,15 +2,18 @@
 
 Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
 
-* Texts of equal sets collapse to a class, represented by its smallest id.
+* Texts of equal sets collapse to a class.  A class has a number of its own, fixed
+  once it is written: a row's key does not name it, so several texts under one key
+  stay apart.
 * ``TREES`` independent trees branch all classes.  A node selects coordinates of the
   minwise signature (its chosen tokens) and sends each class to the child of its
   value there.  The first level selects two coordinates a tree, so a pair at the
   threshold parts in all trees with probability 0.25 ** 16.
-* A node of at most ``NODE_MAX`` classes is compared exhaustively.  Larger ones branch
-  on: one or two further coordinates (4/3 on average, the inverse of the threshold),
-  until they are small.  At ``DEPTH_MAX`` what is left is cut into blocks and every
-  pair of blocks is compared.
+* A node of at most ``NODE_MAX`` classes and ``NODE_SHINGLES`` shingles is compared
+  exhaustively.  Larger ones branch on: one or two further coordinates (3/2 on
+  average, more than the inverse of the threshold), until they are small.  At
+  ``DEPTH_MAX`` what is left is cut into blocks, by classes and by shingles, and
+  every pair of blocks is compared.
 * In a node of up to ``PAIRS_MAX`` classes the pairs that look similar by signature
   are candidates, each sent on from the first coordinate that its two classes share
   in such a node.  They are confirmed on whole sets of 64-bit shingle hashes in
@@ -18,11 +21,16 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
 * A larger node gets the whole sets.  Its rows join groups one by one, confirmed on
   the sets, likeliest first, and rows already in one group are not compared again:
   whatever the number of similar pairs, a node gives fewer links than it has rows.
+  Nodes of more than ``ALONE`` classes are a group of their own; smaller ones are
+  pooled by hash, by their classes and shingles.
 * Components come from alternating star steps over the confirmed links.
 
 The signature has 256 values of 8 bits: its estimate is off by 0.027 (one standard
-deviation) at the threshold, and candidates begin at 0.66, so a pair exactly at the
-threshold is overlooked with probability about 4e-4 and one at 0.78 never.
+deviation) at the threshold, and candidates begin at 0.64, so a pair exactly at the
+threshold is overlooked with probability about 3e-5 and one at 0.78 never.  If all
+the coordinates that such a pair shares lie in large nodes, it parts in all trees
+with probability 1e-7 when they are small after one further level, 1e-5 after three
+and 2e-4 after the seven there are; at a similarity of 0.9 with 3e-11 after seven.
 """
 
 from __future__ import annotations
@@ -43,11 +51,13 @@ TREES = 8
 PATHS = 2 * TREES
 VALUES = 256
 PAIRS_MAX = 8
-NODE_MAX = 2048
+NODE_MAX = 1024
+#: Nodes of more classes, or of a thousand times as many shingles, are compared alone.
+ALONE = 128
 #: Shingles of all sets in a node, at most (32 MB).
 NODE_SHINGLES = 1 << 22
-DEPTH_MAX = 12
-ESTIMATE_MIN = 0.66
+DEPTH_MAX = 8
+ESTIMATE_MIN = 0.64
 
 _U32 = np.uint32
 _FLIP = K.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(_U32)
@@ -69,6 +79,10 @@ def _low_bits(values: np.ndarray) -> np.ndarray:
     return ((x * _U32(0x2C1B3C6D)) >> _U32(24)).astype(np.uint8)
 
 
+def _set_key(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 _SIGNED = "id long, n_shingles long, set_key binary, paths array<long>, sig binary"
 
 
@@ -87,7 +101,7 @@ def _signed(documents: DataFrame, key: str, text: str) -> DataFrame:
                         keys.append(None), paths.append(None), sigs.append(None)
                         continue
                     v = signature(s)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(_set_key(s.tobytes()))
                     paths.append(K.mix((np.arange(PATHS, dtype=np.uint64) << np.uint64(32)) | v[:PATHS].astype(np.uint64)).astype(np.int64))
                     sigs.append(_low_bits(v).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -202,7 +216,7 @@ def _in_nodes(table: pa.Table) -> pa.Table:
 
 
 class _Search:
-    """The nodes of all trees, level by level, with what each level finds."""
+    """The nodes of all trees, level by level, with what each level finds.  An ``id`` is a class's number."""
 
     def __init__(self, classes: DataFrame, documents: DataFrame, key: str, text: str):
         self.classes, self.documents, self.key, self.text = classes, documents, key, text
@@ -210,26 +224,33 @@ class _Search:
         self.links: list[DataFrame] = []
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
-        """``(id, shingles)`` of the named classes."""
-        ids = ids.select(F.col("id").alias(self.key)).distinct()
-        n = ids.count()
-        needed = self.documents.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, self.key, "left_semi")
+        """``(id, shingles)`` of the classes named in ``ids``."""
+        named = self.classes.select("id", "set_key", F.col("doc").alias(self.key)).join(ids.select("id").distinct(), "id", "left_semi")
+        named = T.written(named, "wanted")
+        small = named.count() <= BROADCAST_IDS
+        hint = F.broadcast if small else lambda x: x
+        needed = self.documents.join(hint(named.select(self.key).distinct()), self.key, "left_semi")
+        found = _sets(needed, self.key, self.text).join(hint(named.select("id", "set_key")), "set_key")
         # A repeated row gives the same set again: any one serves.
-        return _sets(needed, self.key, self.text).dropDuplicates(["id"])
+        return found.select("id", "shingles").dropDuplicates(["id"])
 
     def compare(self, nodes: DataFrame, level: str) -> None:
-        """Compares the nodes (path, node, id, side, n) that are not large."""
-        for name, part, per_group in (("pairs", nodes.where(F.col("n") <= PAIRS_MAX), 20_000), ("links", nodes.where(F.col("n") > PAIRS_MAX), 2_000)):
-            count = part.count()
+        """Compares the nodes (path, node, id, side, n, shingles) that are not large."""
+        for name, part in (("pairs", nodes.where(F.col("n") <= PAIRS_MAX)), ("links", nodes.where(F.col("n") > PAIRS_MAX))):
+            count, shingles = part.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") / F.col("n")), F.lit(0.0))).first()
             if not count:
                 continue
-            rows = part.join(self.full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(T.parts_for(count, per_group))))
             if name == "pairs":
+                rows = part.join(self.full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(T.parts_for(count, 20_000))))
                 found = rows.select("group", "path", "node", "id", "n_shingles", "paths", "sig", "big").groupBy("group").applyInArrow(_in_nodes, _PAIRS)
                 self.pairs.append(T.written(found, f"pairs-{level}"))
             else:
+                pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(int(shingles), 4000 * ALONE))
+                alone = (F.col("n") > ALONE) | (F.col("shingles") > 1000 * ALONE)
+                # Pools have numbers from 0 up, nodes alone negative ones.
+                group = F.when(alone, -1 - F.shiftrightunsigned(F.xxhash64("path", "node"), 1)).otherwise(F.pmod(F.xxhash64("path", "node"), F.lit(pools)))
                 sets = T.written(self.whole_sets(part), f"sets-{level}")
-                rows = rows.select("group", "path", "node", "id", "n_shingles", "sig", "side").join(sets, "id")
+                rows = part.withColumn("group", group).join(self.full, "id").select("group", "path", "node", "id", "n_shingles", "sig", "side").join(sets, "id")
                 self.links.append(T.written(rows.groupBy("group").applyInArrow(_linked_in_nodes, "u long, v long"), f"links-{level}"))
 
     def run(self) -> None:
@@ -243,7 +264,7 @@ class _Search:
         big = shared.where(F.col("n") > PAIRS_MAX).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, path)")).alias("big"))
         full = shared.select("id").distinct().join(self.classes, "id").join(big, "id", "left")
         self.full = T.written(full.select("id", "n_shingles", "paths", "sig", F.coalesce("big", F.lit(0)).cast("int").alias("big")), "active")
-        self.compare(shared.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n"), "1")
+        self.compare(shared.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n", "shingles"), "1")
         rest = shared.where("large").select("id", "path", "node")
         for depth in range(2, DEPTH_MAX + 1):
             rest = T.written(rest, f"large-{depth}")
@@ -253,21 +274,21 @@ class _Search:
             node = F.col("node")
             picks = F.array(
                 F.pmod(F.xxhash64(node, F.lit(depth)), F.lit(VALUES)),
-                F.when(F.pmod(F.xxhash64(node, F.lit(-depth)), F.lit(3)) == 0, F.pmod(F.xxhash64(node, F.lit(1000 + depth)), F.lit(VALUES))),
+                F.when(F.pmod(F.xxhash64(node, F.lit(-depth)), F.lit(2)) == 0, F.pmod(F.xxhash64(node, F.lit(1000 + depth)), F.lit(VALUES))),
             )
             child = rest.withColumn("pick", F.explode(F.array_compact(picks))).join(self.full.select("id", "sig", "n_shingles"), "id")
             child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(sig, int(pick) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
             counts = child.groupBy("node").agg(*counted).where("n > 1").withColumn("large", large)
             child = T.written(child.drop("n_shingles").join(counts, "node"), f"children-{depth}")
-            self.compare(child.where(~F.col("large")).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"), "n"), str(depth))
-            rest = child.where("large").select("id", "path", "node")
+            self.compare(child.where(~F.col("large")).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"), "n", "shingles"), str(depth))
+            rest = child.where("large").select("id", "path", "node", "n", "shingles")
         # The exact way for what no branching made small: blocks of each node against blocks.
-        sizes = rest.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / (NODE_MAX / 2)), F.lit(1)).alias("k"))
-        dealt = rest.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+        blocks = F.greatest(F.ceil(F.col("n") / (NODE_MAX / 2)), F.ceil(F.col("shingles") / (NODE_SHINGLES / 2)), F.lit(1))
+        dealt = rest.withColumn("k", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
         dealt = dealt.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
         # Side 0: a block with itself; else pairs across the two blocks only.
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
-        self.compare(dealt.select(F.lit(-1).alias("path"), "node", "id", side.alias("side"), F.lit(NODE_MAX).alias("n")), "rest")
+        self.compare(dealt.select(F.lit(-1).alias("path"), "node", "id", side.alias("side"), F.lit(NODE_MAX).alias("n"), F.lit(NODE_SHINGLES).cast("long").alias("shingles")), "rest")
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,11 +307,10 @@ def _sets(documents: DataFrame, key: str, text: str) -> DataFrame:
             for a, b in K.chunked(offsets):
                 o = offsets[a : b + 1]
                 hashes, begin = K.shingle_sets(raw[o[0] : o[-1]], o - o[0], WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([hashes[begin[i] : begin[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["id", "shingles"]
-                )
+                sets = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 
-    return documents.select(key, text).mapInArrow(fn, "id long, shingles binary")
+    return documents.select(key, text).mapInArrow(fn, "set_key binary, shingles binary")
 
 
 #: Class ids with a candidate are broadcast up to this many (8 bytes each); beyond, the sets are joined by shuffle.
@@ -298,7 +318,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Confirmed links ``(u, v)`` between class ids, written."""
+    """Confirmed links ``(u, v)`` between the numbers of ``classes`` (id, set_key, doc, n_shingles, paths, sig), written."""
     search = _Search(classes, documents, key, text)
     search.run()
     found = list(search.links)
@@ -327,21 +347,26 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Words end at ASCII white space and A-Z count as a-z.  A text of fewer than five
     words is one shingle; a null or empty text, or one of white space only, has none
-    and is linked with nothing.  Repeated rows and equal texts share a component; of
-    several rows with the smallest key all are kept.  Rows with a null key are
-    dropped, as no component could name them.  Other columns are not read; an empty
-    table gives an empty table.
+    and is linked with nothing.  Each row is a document: rows of equal texts, repeated
+    rows included, share a component, and several texts under one key are not linked
+    by it.  A component is named by the smallest key of its rows; of several rows with
+    that key all are kept.  Rows with a null key are dropped, as no component could
+    name them.  Texts of any length are read whole, piece by piece.  Other columns are
+    not read; an empty table gives an empty table.
     """
     documents = documents.select(key, text).where(F.col(key).isNotNull())
     signed = T.written(_signed(documents, key, text), "signed")
-    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"))
-    members = signed.select("id", "n_shingles", "set_key")
-    # One row a class, with its representative's signature.
-    lead = T.written(signed.join(classes, ["set_key", "id"]).dropDuplicates(["id"]), "classes")
-    found = links(lead.select("id", "n_shingles", "paths", "sig"), documents, key, text)
-    joined = components.smallest_reachable(found)
-    named = lead.select("set_key", F.col("id").alias("class_id")).join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = T.written(named.select("set_key", F.coalesce("component", "class_id").alias("component")), "named")
-    out = members.join(named, "set_key", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    # All but the key follows from the set, so any row of a class will do.
+    classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("doc"), F.count("*").alias("n_rows"), *[F.first(c).alias(c) for c in ("n_shingles", "paths", "sig")])
+    classes = T.written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    found = links(classes, documents, key, text)
+    linked = T.written(components.smallest_reachable(found), "reached")
+    # Components of more than one class are named by the smallest key of all their rows.
+    linked = T.written(linked.union(linked.select("component", "component").distinct()).join(classes.select("id", "doc"), "id"), "linked")
+    ends = linked.groupBy("component").agg(F.min("doc").alias("end"), F.count("*").alias("n"))
+    ended = T.joined(linked, ends, "component", "n").select("id", "end")
+    named = T.written(classes.select("id", "set_key", "doc", "n_rows").join(ended, "id", "left").select("set_key", "n_rows", F.coalesce("end", "doc").alias("component")), "named")
+    rows = signed.select("id", "n_shingles", "set_key")
+    with_set = T.joined(rows.where(F.col("set_key").isNotNull()), named, "set_key", "n_rows").select("id", "n_shingles", "component")
+    out = with_set.union(rows.where(F.col("set_key").isNull()).select("id", "n_shingles", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 
 import numpy as np
@@ -17,9 +18,11 @@ _paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where ``spark.checkpoint.dir`` is unset (tests) a local one."""
+    """The cluster's shared folder; only where ``spark.checkpoint.dir`` is unset and all runs in one process (tests) a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="terraspark-")
@@ -45,6 +48,23 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
+#: A key with as many rows is taken out of the shuffle of a join.
+HOT_ROWS = 50_000
+
+
+def joined(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` (a written table) with the columns of ``by_key``, which has one row a key and says in ``count`` how many of ``rows`` have it.
+
+    Keys of at least ``HOT_ROWS`` rows are joined by broadcast, so that none meets in
+    one task; there is one such key for each ``HOT_ROWS`` rows at most.
+    """
+    hot = F.col(count) >= HOT_ROWS
+    few = by_key.where(hot).drop(count)
+    spread_out = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(by_key.where(~hot).drop(count), key)
+    return spread_out.unionByName(rest)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan of fewer partitions than there are cores (a single small file), dealt out by key; any other as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism

@@ -46,6 +46,32 @@ def test_chunks_cover_all_rows(rows, size):
     assert [i for a, b in K.chunked(offsets, size) for i in range(a, b)] == list(range(len(rows)))
 
 
+@settings(max_examples=150, deadline=None)
+@given(texts, st.integers(1, 4), st.integers(1, 40), st.integers(2, 30))
+def test_pieces_change_nothing(rows, n, size, stretch):
+    raw, offsets = K.texts_of(pa.array(rows, pa.string()))
+    starts, ends, first = K.word_bounds(raw, offsets)
+    whole = [K.word_hashes(raw, starts, ends, lower=True, second=x) for x in (False, True)]
+    at, _ = K.window_starts(first, n)
+    windows = [K.window_hashes(whole[0], at, n, second=x) for x in (False, True)]
+    sets = [K.shingle_sets(raw[a:b], np.array([0, b - a]), n)[0] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    saved = K.CHUNK_BYTES, K.STRETCH
+    try:
+        K.CHUNK_BYTES, K.STRETCH = size, stretch
+        assert all((K.word_hashes(raw, starts, ends, lower=True, second=x) == whole[x]).all() for x in (0, 1))
+        assert all((K.window_hashes(whole[0], at, n, second=x) == windows[x]).all() for x in (0, 1))
+        long = K.pieces.__defaults__
+        K.pieces.__defaults__ = (size,)
+        try:
+            assert [i for a, b, low, high in K.pieces(raw, offsets) for i in range(low, high)] == list(range(len(raw)))
+            for s, a, b in zip(sets, offsets[:-1], offsets[1:], strict=True):
+                assert K.shingle_sets(raw[a:b], np.array([0, b - a]), n)[0].tolist() == s.tolist()
+        finally:
+            K.pieces.__defaults__ = long
+    finally:
+        K.CHUNK_BYTES, K.STRETCH = saved
+
+
 def test_slices_of_columns():
     column = pa.array(["one two", None, "three", "a b c"]).slice(1, 3)
     assert K.word_counts(column).tolist() == [0, 1, 3]

@@ -113,6 +113,27 @@ def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
 
 
+def test_several_texts_under_one_key(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    rng = random.Random(21)
+    a, b = prose(rng, 40), prose(rng, 40)
+    near = " ".join(a.split()[:-1] + ["other"])
+    rows = [(5, a), (5, b), (9, b), (11, a), (3, near), (5, a), (12, prose(rng, 9)), (7, None), (7, "x"), (8, ""), (None, a)] + [(20 + i, a) for i in range(5)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # By brute force over rows, each a document of its own; their order makes the smallest key the smallest number.
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    want = brute_components({i: t for i, (_, t) in enumerate(known)})
+    assert Counter(tuple(r) for r in got) == Counter((known[i][0], n, known[c][0], known[i][0] == known[c][0]) for i, (n, c) in want.items())
+    assert {r.component_id for r in got if r.doc_id in (9, 11)} == {5, 3}
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_ROWS", 4)
+    links = [(0, i) for i in range(1, 12)] + [(11, 30), (30, 31), (50, 51)]
+    got = {r.id: r.component for r in components.smallest_reachable(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 12), 30, 31]} | {51: 50}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 100), (7, 7)]
     got = {r.id: r.component for r in components.smallest_reachable(spark.createDataFrame(links, "u long, v long")).collect()}
