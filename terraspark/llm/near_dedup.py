@@ -14,10 +14,10 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
   average, more than the inverse of the threshold), until they are small.  At
   ``DEPTH_MAX`` what is left is cut into blocks, by classes and by shingles, and
   every pair of blocks is compared.
-* In a node of up to ``PAIRS_MAX`` classes the pairs that look similar by signature
-  are candidates, each sent on from the first coordinate that its two classes share
-  in such a node.  They are confirmed on whole sets of 64-bit shingle hashes in
-  cells of two hash ranges of classes; a class is sent once to each of its cells.
+* Nodes of equal members are compared once.  In a node of up to ``PAIRS_MAX`` classes
+  the pairs that look similar by signature are candidates.  They are confirmed on
+  whole sets of 64-bit shingle hashes in cells of two hash ranges of classes; a class
+  is sent once to each of its cells.
 * A larger node gets the whole sets.  Its rows join groups one by one, confirmed on
   the sets, likeliest first, and rows already in one group are not compared again:
   whatever the number of similar pairs, a node gives fewer links than it has rows.
@@ -25,9 +25,9 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
   pooled by hash, by their classes and shingles.
 * Components come from alternating star steps over the confirmed links.
 
-The signature has 256 values of 8 bits: its estimate is off by 0.027 (one standard
+The signature has 256 values of 4 bits: its estimate is off by 0.028 (one standard
 deviation) at the threshold, and candidates begin at 0.64, so a pair exactly at the
-threshold is overlooked with probability about 3e-5 and one at 0.78 never.  If all
+threshold is overlooked with probability about 5e-5 and one at 0.78 never.  If all
 the coordinates that such a pair shares lie in large nodes, it parts in all trees
 with probability 1e-7 when they are small after one further level, 1e-5 after three
 and 2e-4 after the seven there are; at a similarity of 0.9 with 3e-11 after seven.
@@ -64,19 +64,37 @@ _FLIP = K.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _TIMES = (K.mix(np.arange(VALUES + 1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(_U32) | _U32(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minwise values (32 bits) of one set under 256 permutations."""
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values (32 bits) of one set under 256 permutations, and the whole tokens that the first ``PATHS`` choose."""
     x = (hashes >> np.uint64(32)).astype(_U32)
-    step = max(1, min(VALUES, (1 << 20) // max(len(x), 1)))
-    out = np.empty(VALUES, _U32)
+    step = max(PATHS, min(VALUES, (1 << 20) // max(len(x), 1)))
+    out, tokens = np.empty(VALUES, _U32), None
     for a in range(0, VALUES, step):
-        out[a : a + step] = ((x[None, :] ^ _FLIP[a : a + step, None]) * _TIMES[a : a + step, None]).min(axis=1)
-    return out
+        y = (x[None, :] ^ _FLIP[a : a + step, None]) * _TIMES[a : a + step, None]
+        out[a : a + step] = y.min(axis=1)
+        if tokens is None:
+            tokens = hashes[y[:PATHS].argmin(axis=1)]
+    return out, tokens
 
 
-def _low_bits(values: np.ndarray) -> np.ndarray:
+def _packed(values: np.ndarray) -> bytes:
+    """Four bits of each value, two to a byte."""
     x = values ^ (values >> _U32(15))
-    return ((x * _U32(0x2C1B3C6D)) >> _U32(24)).astype(np.uint8)
+    x = ((x * _U32(0x2C1B3C6D)) >> _U32(28)).astype(np.uint8)
+    return (x[0::2] << 4 | x[1::2]).tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Signatures as rows of 256 small numbers."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES // 2)
+    out = np.empty((len(x), VALUES), np.uint8)
+    out[:, 0::2], out[:, 1::2] = x >> 4, x & 15
+    return out
+
+
+def _estimate(equal: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal values, of which one in sixteen is so by chance."""
+    return (equal - 1 / 16) / (1 - 1 / 16)
 
 
 def _set_key(shingles: bytes) -> bytes:
@@ -100,10 +118,10 @@ def _signed(documents: DataFrame, key: str, text: str) -> DataFrame:
                     if not len(s):
                         keys.append(None), paths.append(None), sigs.append(None)
                         continue
-                    v = signature(s)
+                    v, chosen = signature(s)
                     keys.append(_set_key(s.tobytes()))
-                    paths.append(K.mix((np.arange(PATHS, dtype=np.uint64) << np.uint64(32)) | v[:PATHS].astype(np.uint64)).astype(np.int64))
-                    sigs.append(_low_bits(v).tobytes())
+                    paths.append(chosen.view(np.int64))
+                    sigs.append(_packed(v))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a).cast(pa.int64()), pa.array(np.diff(begin), pa.int64()), pa.array(keys, pa.binary()), pa.array(paths, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                     names=["id", "n_shingles", "set_key", "paths", "sig"],
@@ -115,31 +133,6 @@ def _signed(documents: DataFrame, key: str, text: str) -> DataFrame:
 _PAIRS = "a long, b long"
 
 
-class _Rows:
-    """The rows of one group of nodes, as arrays."""
-
-    def __init__(self, table: pa.Table):
-        self.ids = table["id"].to_numpy()
-        self.sizes = table["n_shingles"].to_numpy()
-        self.sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        self.paths = table["paths"].combine_chunks().flatten().to_numpy().reshape(-1, PATHS)
-        self.big = (table["big"].to_numpy()[:, None] >> np.arange(PATHS)) & 1 == 1
-
-    def kept(self, path: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs ``(i, j)``, met at one path (or -1), are candidates that no earlier path finds."""
-        low, high = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-        keep = np.flatnonzero((4 * low >= 3 * high) & (self.ids[i] != self.ids[j]))
-        if path > 0 and len(keep):
-            # An earlier coordinate that both share, in a node that is not large, has found them.
-            met = (self.paths[i[keep], :path] == self.paths[j[keep], :path]) & ~self.big[i[keep], :path]
-            keep = keep[~met.any(axis=1)]
-        same = np.empty(len(keep))
-        for a in range(0, len(keep), 1 << 14):
-            k = keep[a : a + (1 << 14)]
-            same[a : a + (1 << 14)] = (self.sigs[i[k]] == self.sigs[j[k]]).mean(axis=1)
-        return keep[(same - 1 / 256) / (1 - 1 / 256) >= ESTIMATE_MIN]
-
-
 def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of their nodes, where each node begins, and its size."""
     node, path = table["node"].to_numpy(), table["path"].to_numpy()
@@ -151,7 +144,7 @@ def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _linked_in_nodes(table: pa.Table) -> pa.Table:
     """Confirmed links that join what is linked in each node of one group of nodes."""
     ids, sizes, side = (table[c].to_numpy() for c in ("id", "n_shingles", "side"))
-    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
+    sigs = _unpacked(table["sig"])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
     order, cut, counts = _nodes(table)
     u, v = [], []
@@ -167,7 +160,7 @@ def _linked_in_nodes(table: pa.Table) -> pa.Table:
                 # In a node of two blocks, only pairs across them.
                 others = others[side[rows[others]] != s]
             same = (sigs[rows[others]] == sigs[rows[k]]).mean(axis=1)
-            near = (same - 1 / 256) / (1 - 1 / 256) >= ESTIMATE_MIN
+            near = _estimate(same) >= ESTIMATE_MIN
             others = others[near][np.argsort(-same[near], kind="stable")]
             step = 1
             while len(others):
@@ -192,27 +185,24 @@ def _linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _in_nodes(table: pa.Table) -> pa.Table:
-    """Candidates of all nodes in one group of small nodes."""
-    r = _Rows(table)
-    path = table["path"].to_numpy()
-    order, cut, sizes = _nodes(table)
+    """Candidates of all nodes in one group of nodes of pairs."""
+    ids, size, sigs = table["id"].to_numpy(), table["n_shingles"].to_numpy(), _unpacked(table["sig"])
+    order, cut, counts = _nodes(table)
     a, b = [], []
-
-    def add(p: int, i: np.ndarray, j: np.ndarray) -> None:
-        keep = r.kept(p, i, j)
-        a.append(np.minimum(r.ids[i[keep]], r.ids[j[keep]]))
-        b.append(np.maximum(r.ids[i[keep]], r.ids[j[keep]]))
-
-    for n in np.unique(sizes).tolist():
-        begins = cut[sizes == n]
-        # All nodes of one size and path at once.
+    for n in np.unique(counts).tolist():
+        # All nodes of one size at once.
         x, y = np.triu_indices(n, 1)
-        for p in np.unique(path[order[begins]]).tolist():
-            rows = order[begins[path[order[begins]] == p][:, None] + np.arange(n)]
-            for k in range(0, len(rows), 1024):
-                add(p, rows[k : k + 1024, x].ravel(), rows[k : k + 1024, y].ravel())
-    join = lambda z: pa.array(np.concatenate(z) if z else np.empty(0, np.int64), pa.int64())
-    return pa.table({"a": join(a), "b": join(b)})
+        rows = order[cut[counts == n][:, None] + np.arange(n)]
+        for k in range(0, len(rows), 512):
+            i, j = rows[k : k + 512, x].ravel(), rows[k : k + 512, y].ravel()
+            fit = 4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])
+            i, j = i[fit], j[fit]
+            near = _estimate((sigs[i] == sigs[j]).mean(axis=1)) >= ESTIMATE_MIN
+            a.append(np.minimum(ids[i[near]], ids[j[near]]))
+            b.append(np.maximum(ids[i[near]], ids[j[near]]))
+    # A pair that meets in several nodes is sent on once.
+    found = np.unique(np.stack([np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])], axis=1), axis=0)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
 
 class _Search:
@@ -242,7 +232,7 @@ class _Search:
                 continue
             if name == "pairs":
                 rows = part.join(self.full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(T.parts_for(count, 20_000))))
-                found = rows.select("group", "path", "node", "id", "n_shingles", "paths", "sig", "big").groupBy("group").applyInArrow(_in_nodes, _PAIRS)
+                found = rows.select("group", "path", "node", "id", "n_shingles", "sig").groupBy("group").applyInArrow(_in_nodes, _PAIRS)
                 self.pairs.append(T.written(found, f"pairs-{level}"))
             else:
                 pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(int(shingles), 4000 * ALONE))
@@ -257,13 +247,15 @@ class _Search:
         large = (F.col("n") > NODE_MAX) | (F.col("n") > PAIRS_MAX) & (F.col("shingles") > NODE_SHINGLES)
         counted = [F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")]
         first = self.classes.select("id", "n_shingles", F.posexplode("paths").alias("path", "node"))
-        counts = first.groupBy("path", "node").agg(*counted).where("n > 1").withColumn("large", large)
+        # Nodes of equal members (two sums of their hashes agree) are compared once, unless they go on branching.
+        members = [F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.sum(F.shiftright(F.xxhash64("id", F.lit(2)), 24)).alias("y")]
+        counts = T.written(first.groupBy("path", "node").agg(*counted, *members).where("n > 1").withColumn("large", large), "node-sizes")
+        once = counts.where(~F.col("large")).groupBy("n", "shingles", "x", "y").agg(F.min(F.struct("path", "node")).alias("one")).select("one.path", "one.node", "n", "shingles", F.lit(False).alias("large"))
+        counts = once.union(counts.where("large").select("path", "node", "n", "shingles", "large"))
         # Only classes that share a node with another go on.
         shared = T.written(first.drop("n_shingles").join(counts, ["path", "node"]), "nodes")
-        # Bit p: at path p the class is not in a node of pairs.
-        big = shared.where(F.col("n") > PAIRS_MAX).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, path)")).alias("big"))
-        full = shared.select("id").distinct().join(self.classes, "id").join(big, "id", "left")
-        self.full = T.written(full.select("id", "n_shingles", "paths", "sig", F.coalesce("big", F.lit(0)).cast("int").alias("big")), "active")
+        full = self.classes.select("id", "n_shingles", "sig").join(shared.select("id").distinct(), "id", "left_semi")
+        self.full = T.written(full, "active")
         self.compare(shared.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n", "shingles"), "1")
         rest = shared.where("large").select("id", "path", "node")
         for depth in range(2, DEPTH_MAX + 1):
@@ -277,7 +269,7 @@ class _Search:
                 F.when(F.pmod(F.xxhash64(node, F.lit(-depth)), F.lit(2)) == 0, F.pmod(F.xxhash64(node, F.lit(1000 + depth)), F.lit(VALUES))),
             )
             child = rest.withColumn("pick", F.explode(F.array_compact(picks))).join(self.full.select("id", "sig", "n_shingles"), "id")
-            child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(sig, int(pick) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
+            child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(hex(substring(sig, int(pick div 2) + 1, 1)), int(pick % 2) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
             counts = child.groupBy("node").agg(*counted).where("n > 1").withColumn("large", large)
             child = T.written(child.drop("n_shingles").join(counts, "node"), f"children-{depth}")
             self.compare(child.where(~F.col("large")).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"), "n", "shingles"), str(depth))
@@ -329,7 +321,8 @@ def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> Data
         pairs = T.written(pairs.distinct(), "candidates")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = search.whole_sets(wanted)
-        ranges = T.parts_for(wanted.count(), 4_000, 6)
+        n, shingles = wanted.join(search.full, "id").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+        ranges = max(T.parts_for(n, 12_000, 6), T.parts_for(shingles, NODE_SHINGLES))
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ranges))
         cells = pairs.withColumn("lo", F.least(mine("a"), mine("b"))).withColumn("hi", F.greatest(mine("a"), mine("b")))
         sent = cells.select(F.col("lo").alias("row"), F.col("hi").alias("column"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
