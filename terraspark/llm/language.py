@@ -4,7 +4,7 @@ A word known from training scores its log frequency in each language.  An unseen
 word is cut into character n-grams: if some of its longest ones are known, it scores
 their mean log frequency, else the next shorter ones are tried, down to single
 characters.  A text's score is the sum over its words.  Words are runs of letters
-in lower case.
+and their combining marks in lower case; marks without any letter are no word.
 """
 
 from __future__ import annotations
@@ -19,29 +19,30 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 from . import samples
 
-#: Documents with a language used for fitting, at most.
-TRAIN_LIMIT = 4000
+#: Documents with a language used for fitting, at most (bytes: ``samples.LEARN_BYTES``).
+TRAIN_LIMIT = 6000
 LONGEST = 4
 #: Words and n-grams seen less often than this are not known.
 LEAST = 2
 UNDECIDED = "und"
 CHUNK_CHARS = 1 << 19
 
-_not_letter: list[np.ndarray] = []
+#: Filled on first use: for each code point whether it is neither letter nor mark, and whether it is a letter.
+_kinds: list[np.ndarray] = []
+#: Planes that hold letters (the basic one, and the first, second and third supplementary).
+_PLANES = 4 << 16
 _EDGE = np.uint64(0x51ED270B2F6D1C35)
 
 
-def not_letter() -> np.ndarray:
-    """For each code point whether it is no letter (combining marks belong to their letter)."""
-    if not _not_letter:
+def kinds() -> list[np.ndarray]:
+    if not _kinds:
         import unicodedata
 
-        table = np.ones(sys.maxunicode + 1, dtype=bool)
-        # Beyond the two first planes there are ideographs, all letters but for few.
-        table[:0x20000] = [not (chr(i).isalpha() or unicodedata.category(chr(i)) in ("Mn", "Mc")) for i in range(0x20000)]
-        table[0x20000:0x32000] = False
-        _not_letter.append(table)
-    return _not_letter[0]
+        ends_word, letter = np.ones(sys.maxunicode + 1, dtype=bool), np.zeros(sys.maxunicode + 1, dtype=bool)
+        letter[:_PLANES] = [chr(i).isalpha() for i in range(_PLANES)]
+        ends_word[:_PLANES] = [not (is_letter or unicodedata.category(chr(i)) in ("Mn", "Mc")) for i, is_letter in enumerate(letter[:_PLANES].tolist())]
+        _kinds.extend([ends_word, letter])
+    return _kinds
 
 
 class Words:
@@ -52,7 +53,12 @@ class Words:
         self.points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in lowered], out=offsets[1:])
-        starts, ends, self.first = K.word_bounds(self.points, offsets, not_letter())
+        ends_word, letter = kinds()
+        starts, ends, first = K.word_bounds(self.points, offsets, ends_word)
+        sums = np.zeros(len(self.points) + 1, np.int32)
+        np.cumsum(letter[self.points], out=sums[1:])
+        real = sums[ends] > sums[starts]
+        starts, ends, self.first = starts[real], ends[real], np.concatenate([[0], np.cumsum(real)])[first]
         self.codes = K.mix(self.points.astype(np.uint64) + np.uint64(1))
         hashes = K.window_hashes(self.codes, starts, ends - starts) ^ K.mix((ends - starts).astype(np.uint64))
         self.hashes, at, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -114,16 +120,23 @@ class Model:
             rest = rest[count == 0]
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and probability of each whole text."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of words of each text, and the sums of their log scores."""
         w = Words(texts)
-        names, probability = [UNDECIDED] * len(texts), np.zeros(len(texts))
-        rows = np.flatnonzero(np.diff(w.first))
+        counts = np.diff(w.first)
+        out = np.zeros((len(texts), max(len(self.languages), 1)))
+        rows = np.flatnonzero(counts)
+        if len(rows) and self.languages:
+            out[rows] = np.add.reduceat(self.scores(w)[w.inverse], w.first[rows], axis=0)
+        return counts, out
+
+    def decide(self, counts: np.ndarray, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language (of equal ones the first by name) and probability of each text."""
+        names, probability = [UNDECIDED] * len(counts), np.zeros(len(counts))
+        rows = np.flatnonzero(counts)
         if len(rows) and self.languages:
-            per_word = self.scores(w)[w.inverse]
-            sums = np.add.reduceat(per_word, w.first[rows], axis=0)
             # Words of one text depend on each other: evidence grows with the root of their number.
-            sums /= np.sqrt(np.diff(w.first)[rows])[:, None]
+            sums = sums[rows] / np.sqrt(counts[rows])[:, None]
             sums -= sums.max(axis=1, keepdims=True)
             best = sums.argmax(axis=1)
             probability[rows] = 1 / np.exp(sums).sum(axis=1)
@@ -131,6 +144,21 @@ class Model:
                 names[r] = self.languages[b]
         return names, probability
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and probability of each whole text."""
+        return self.decide(*self.sums(texts))
+
+    def predict_column(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The same for a string column, chunk by chunk; a long text is summed up over its pieces."""
+        raw, offsets = K.texts_of(column)
+        counts, sums = np.zeros(len(column), np.int64), np.zeros((len(column), max(len(self.languages), 1)))
+        for a, b, low, high in K.pieces(raw, offsets, CHUNK_CHARS):
+            part = column.slice(a, b - a).to_pylist() if (low, high) == (offsets[a], offsets[b]) else [raw[low:high].tobytes().decode("utf-8", "replace")]
+            n, s = self.sums(part)
+            counts[a:b] += n
+            sums[a:b] += s
+        return self.decide(counts, sums)
+
 
 class _Counts:
     """Counts of hashes by language, added up whenever many have gathered."""
@@ -167,10 +195,10 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     words, grams = _Counts(max(len(names), 1)), {n: _Counts(max(len(names), 1)) for n in range(1, LONGEST + 1)}
-    step = 64
-    for a in range(0, len(texts), step):
-        w = Words(texts[a : a + step])
-        own = np.repeat([number[x] for x in langs[a : a + step]], np.diff(w.first))
+    cut = np.cumsum([len(t or "") for t in texts]) // CHUNK_CHARS if texts else []
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cut)) + 1) if len(texts) else []:
+        w = Words([texts[i] for i in part])
+        own = np.repeat([number[langs[i]] for i in part], np.diff(w.first))
         # Occurrences of each distinct word in each language.
         pair, count = np.unique(w.inverse * len(names) + own, return_counts=True)
         word, language = pair // len(names), pair % len(names)
@@ -184,21 +212,20 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
 def identify(documents: DataFrame, wanted, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_LIMIT) -> DataFrame:
     """``key, lang_pred, score`` of every whole text.
 
-    Learns from ``limit`` rows at most with a language where ``wanted`` holds, chosen
-    by a hash of the key.  Null and empty texts and texts without letters are ``und``
-    with score 0; so is everything if nothing can be learned.  Repeated rows get
-    equal results; an empty table gives an empty table.
+    Learns from a ``samples.sample`` of ``limit`` rows at most with a language where
+    ``wanted`` holds; each language's first rows come before all others, so a rare one
+    is learned too.  Null and empty texts and texts without letters (combining marks
+    alone are none) are ``und`` with score 0; so is everything if nothing can be
+    learned.  Equal texts, repeated rows included, get equal results, and of equally
+    likely languages the first by name is taken; a null key is kept; a text of any
+    length is read whole, piece by piece; other columns, whatever their names, are not
+    read.  An empty table gives an empty table.
     """
-    rows = samples.labelled(documents, documents.select(key, lang), lang, wanted, limit, key, text)
-    model = fit(rows[text].tolist(), rows["label"].tolist())
+    model = samples.fitted(samples.sample(documents, documents.select(key, lang), lang, wanted, limit, key, text), fit)
 
     def fn(batches):
         for b in batches:
-            column = b.column(1)
-            _, offsets = K.texts_of(column)
-            for start, end in K.chunked(offsets, CHUNK_CHARS):
-                names, score = model.predict(column.slice(start, end - start).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start).cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
+            names, score = model.predict_column(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     return documents.select(key, text).mapInArrow(fn, f"`{key}` long, lang_pred string, score double")
-

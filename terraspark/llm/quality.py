@@ -5,7 +5,8 @@ digits, trailing signs, whether it repeats the token before).  A name's index
 vector is sparse and ternary and follows from its hash alone.  A word's vector is
 the sum of the index vectors of the words around it in the training texts, beside
 that of their forms; words are told apart by 64-bit hashes, and one that never
-occurred there falls back on its form's vector.  A text is the mean of its tokens'
+occurred there falls back on its form's vector.  Both halves of a vector have norm 1
+and are kept in steps of 1/127.  A text is the mean of its tokens'
 vectors, beside the mean of its forms' index vectors.  The network has one hidden layer, and its logit is divided by a
 temperature fitted on rows kept out of training, so scores are probabilities.
 """
@@ -24,10 +25,12 @@ from . import samples
 DIM = 48
 FORMS = 1024
 NEIGHBOURS = (-2, -1, 1, 2)
+#: Steps of a vector's component.
+STEPS = 127
 #: Tokens whose neighbours are summed at a time.
 BLOCK = 1 << 14
-#: Labelled documents used for fitting, at most.
-TRAIN_LIMIT = 2000
+#: Labelled documents used for fitting, at most (bytes: ``samples.LEARN_BYTES``).
+TRAIN_LIMIT = 6000
 THRESHOLD = 0.3
 
 _UPPER = np.zeros(256, np.uint8)
@@ -106,18 +109,32 @@ class Model:
             out[found] = at[found]
         return out
 
-    def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def sums(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of tokens of each text, and the sums of their vectors and of their forms' index vectors."""
         words, forms, first = tokens(raw, offsets)
         counts = np.diff(first)
         out = np.zeros((len(counts), 3 * DIM), np.float32)
         rows = np.flatnonzero(counts)
         if len(rows):
             vectors = self.vectors[self.rows_of(words, forms)]
-            out[rows, : 2 * DIM] = np.add.reduceat(vectors, first[rows], axis=0, dtype=np.float32) / counts[rows, None]
+            out[rows, : 2 * DIM] = np.add.reduceat(vectors, first[rows], axis=0, dtype=np.float32) / STEPS
             # Forms are few: pool them by their counts.
             place = np.repeat(np.arange(len(counts)), counts) * FORMS + forms
-            out[:, 2 * DIM :] = np.bincount(place, minlength=len(counts) * FORMS).reshape(-1, FORMS).astype(np.float32) @ _FORM_INDEX / np.maximum(counts, 1)[:, None]
-        return out
+            out[:, 2 * DIM :] = np.bincount(place, minlength=len(counts) * FORMS).reshape(-1, FORMS).astype(np.float32) @ _FORM_INDEX
+        return counts, out
+
+    def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean vectors of all texts; a long one is summed up over its pieces."""
+        counts, out = np.zeros(len(offsets) - 1, np.int64), np.zeros((len(offsets) - 1, 3 * DIM), np.float32)
+        for a, b, low, high in K.pieces(raw, offsets, 1 << 19):
+            # Many rows of no text make one chunk: bound the rows too.
+            for c in range(a, b, 1024):
+                e = min(b, c + 1024)
+                inner = np.clip(offsets[c : e + 1], low, high)
+                n, s = self.sums(raw[inner[0] : inner[-1]], inner - inner[0])
+                counts[c:e] += n
+                out[c:e] += s
+        return out / np.maximum(counts, 1)[:, None].astype(np.float32)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         hidden = np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1)
@@ -127,19 +144,17 @@ class Model:
         """Calibrated probability of label 1 for each whole text."""
         raw, offsets = K.texts_of(column)
         out = np.zeros(len(offsets) - 1)
-        for a, b in K.chunked(offsets, 1 << 19):
-            # Many rows of no text make one chunk: bound the rows too.
-            for c in range(a, b, 1024):
-                e = min(b, c + 1024)
-                o = offsets[c : e + 1]
-                out[c:e] = self.logits(self.pooled(raw[o[0] : o[-1]], o - o[0]))
+        # Bounds the pooled rows held at a time.
+        for a in range(0, len(out), 1 << 14):
+            o = offsets[a : a + (1 << 14) + 1]
+            out[a : a + len(o) - 1] = self.logits(self.pooled(raw[o[0] : o[-1]], o - o[0]))
         return 1 / (1 + np.exp(-np.clip(out / self.temperature, -30, 30)))
 
 
 def _context_vectors(names: np.ndarray, words: np.ndarray, forms: np.ndarray, first: np.ndarray, slots: int, word_index: np.ndarray) -> np.ndarray:
     """Normalised sums of the neighbours' word and form index vectors for each of ``slots`` names."""
     row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    total = np.zeros((slots, 2 * DIM), np.float16)
+    total = np.zeros((slots, 2 * DIM), np.int8)
     order = np.argsort(names, kind="stable")
     # A name's tokens may go on in the next block: the last sum is carried over and its row written again.
     last, carried = -1, np.zeros(2 * DIM, np.float32)
@@ -158,7 +173,7 @@ def _context_vectors(names: np.ndarray, words: np.ndarray, forms: np.ndarray, fi
             sums[0] += carried
         last, carried = found[-1], sums[-1].copy()
         for half in (slice(0, DIM), slice(DIM, 2 * DIM)):
-            total[found[begin], half] = sums[:, half] / np.maximum(np.linalg.norm(sums[:, half], axis=1, keepdims=True), 1e-6)
+            total[found[begin], half] = np.rint(STEPS * sums[:, half] / np.maximum(np.linalg.norm(sums[:, half], axis=1, keepdims=True), 1e-6))
     return total
 
 
@@ -187,7 +202,7 @@ def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: in
     model = Model(known, vectors, np.zeros(3 * DIM), np.ones(3 * DIM), w1, np.zeros(hidden), w2, 0.0, 1.0)
     if not len(labels):
         return model
-    x = np.concatenate([model.pooled(raw[o[0] : o[-1]], o - o[0]) for a, b in K.chunked(offsets, 1 << 19) for o in [offsets[a : b + 1]]]).astype(np.float64)
+    x = model.pooled(raw, offsets).astype(np.float64)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = (x - model.mean) / model.scale
     kept = np.arange(len(x)) % 5 != 4 if len(x) >= 10 else np.ones(len(x), dtype=bool)
@@ -217,13 +232,15 @@ def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: in
 def score(documents: DataFrame, labels: DataFrame, wanted: Column, label: str = "quality", key: str = "doc_id", text: str = "text", limit: int = TRAIN_LIMIT, keep: list[str] | None = None) -> DataFrame:
     """``key, score`` of every whole text, with the columns named in ``keep``.
 
-    Learns from ``limit`` labelled rows at most where ``wanted`` holds.  Null and
-    empty texts get the score of an all-zero mean vector; repeated rows get equal
-    scores; an empty table gives an empty table.
+    Learns from a ``samples.sample`` of ``limit`` labelled rows at most where ``wanted``
+    holds.  Null and empty texts get the score of an all-zero mean vector; equal texts,
+    repeated rows included, get equal scores; a null key is kept; a text of any length
+    is read whole, piece by piece.  Other columns are not read; one of ``keep`` that is
+    called ``score`` is replaced by the result.  Without any label all scores follow
+    from the seeded network; an empty table gives an empty table.
     """
-    rows = samples.labelled(documents, labels, label, wanted, limit, key, text)
-    model = fit(rows[text].tolist(), rows["label"].to_numpy(dtype=float))
-    names = [key] if keep is None else keep
+    model = samples.fitted(samples.sample(documents, labels, label, wanted, limit, key, text), lambda texts, y: fit(texts, np.array(y, dtype=float)))
+    names = [key] if keep is None else [n for n in keep if n != "score"]
 
     def fn(batches):
         for b in batches:

@@ -18,7 +18,7 @@ from . import kernels as K
 from . import samples
 
 SLOTS_BITS = 22
-#: Labelled documents used for fitting, at most.
+#: Labelled documents used for fitting, at most (bytes: ``samples.LEARN_BYTES``).
 TRAIN_LIMIT = 6000
 THRESHOLD = 0.7
 
@@ -27,10 +27,16 @@ _ENDS_WORD = np.array([b < 128 and not (chr(b).isalnum() or b == 0x27) for b in
 _BIGRAM, _SKIP = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features (with repeats) of all rows, and the row of each."""
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = K.word_bounds(raw, offsets, _ENDS_WORD)
-    w = K.word_hashes(raw, starts, ends, lower=True)
+    return K.word_hashes(raw, starts, ends, lower=True), first
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features (with repeats) of all rows, and the row of each; ``before`` are the words before a piece of a text."""
+    w, first = _words(raw, offsets)
+    if before is not None:
+        w, first = np.concatenate([before, w]), np.array([0, len(before) + len(w)])
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     parts, rows = [w], [row]
     for gap, salt in ((1, _BIGRAM), (2, _SKIP)):
@@ -53,14 +59,21 @@ class Model:
         out = np.full(len(offsets) - 1, self.bias)
         hot = np.zeros(1 << SLOTS_BITS, dtype=bool)
         hot[self.slots] = True
-        for a, b in K.chunked(offsets):
-            o = offsets[a : b + 1]
-            slots, rows = features(raw[o[0] : o[-1]], o - o[0])
+        gathered, before = np.empty(0, np.int64), None
+        for a, b, low, high in K.pieces(raw, offsets):
+            part, inner = raw[low:high], np.clip(offsets[a : b + 1], low, high) - low
+            slots, rows = features(part, inner, before)
             keep = hot[slots]
             # A feature counts once in a text.
-            seen = np.unique(rows[keep].astype(np.int64) << SLOTS_BITS | slots[keep])
+            seen = np.unique(np.concatenate([gathered, rows[keep].astype(np.int64) << SLOTS_BITS | slots[keep]]))
+            if high < offsets[b]:
+                # The pieces of a long text have one set of features; the last two words of a piece go on into the next.
+                words = _words(part, inner)[0]
+                gathered, before = seen, (words if before is None else np.concatenate([before, words]))[-2:]
+                continue
             values = self.weights[np.searchsorted(self.slots, (seen & ((1 << SLOTS_BITS) - 1)).astype(np.int32))] if len(seen) else np.empty(0)
             out[a:b] += np.bincount(seen >> SLOTS_BITS, weights=values, minlength=b - a)
+            gathered, before = np.empty(0, np.int64), None
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -93,13 +106,14 @@ def fit(texts: list[str | None], labels: np.ndarray, alpha: float = 8.0, beta: f
 
 
 def score(documents: DataFrame, labels: DataFrame, wanted: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", limit: int = TRAIN_LIMIT) -> DataFrame:
-    """``key, score`` of every whole text; learns from ``limit`` labelled rows at most where ``wanted`` holds.
+    """``key, score`` of every whole text; learns from a ``samples.sample`` of ``limit`` labelled rows at most where ``wanted`` holds.
 
-    Null and empty texts get the model's prior; repeated rows get equal scores; other
-    columns are not read.  Without any label all scores are 1/2.
+    Null and empty texts get the model's prior; equal texts, repeated rows included,
+    get equal scores; a null key is kept; a text of any length is read whole, piece by
+    piece; other columns, whatever their names, are not read.  Without any label all
+    scores are 1/2; an empty table gives an empty table.
     """
-    rows = samples.labelled(documents, labels, label, wanted, limit, key, text)
-    model = fit(rows[text].tolist(), rows["label"].to_numpy(dtype=float))
+    model = samples.fitted(samples.sample(documents, labels, label, wanted, limit, key, text), lambda texts, y: fit(texts, np.array(y, dtype=float)))
 
     def fn(batches):
         for b in batches:

@@ -93,9 +93,11 @@ def test_signature_estimates_similarity():
         n = 2000
         both = int(2 * n * j / (1 + j))
         x = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
-        a, b = (near_dedup._low_bits(near_dedup.signature(np.sort(s))) for s in (x[:n], x[n - both :]))
-        estimate = ((a == b).mean() - 1 / 256) / (1 - 1 / 256)
-        assert abs(estimate - j) < 0.12
+        (v, tokens), (w, others) = (near_dedup.signature(np.sort(s)) for s in (x[:n], x[n - both :]))
+        a, b = near_dedup._unpacked(pa.chunked_array([[near_dedup._packed(v), near_dedup._packed(w)]]))
+        assert abs(near_dedup._estimate((a == b).mean()) - j) < 0.12
+        # A chosen token is shared exactly where the minimum is.
+        assert ((tokens == others) == (v == w)[: near_dedup.PATHS]).all() and set(tokens) <= set(x[:n])
 
 
 @settings(max_examples=40, deadline=None)
