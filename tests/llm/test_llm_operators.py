@@ -1,6 +1,7 @@
 """Each operator on hostile rows, against brute force or an exact round trip."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -253,6 +254,58 @@ def test_packing(documents, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def _cheapest(sizes, lengths, price):
+    """The least cost of any partition of the sizes into bins."""
+    best = [float("inf")]
+
+    def go(i, loads):
+        now = sum(price(min(c for c in lengths if c >= x)) for x in loads)
+        if now >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = now
+            return
+        for k in range(len(loads)):
+            if loads[k] + sizes[i] <= lengths[-1]:
+                go(i + 1, [*loads[:k], loads[k] + sizes[i], *loads[k + 1 :]])
+        go(i + 1, [*loads, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_best_fit_chooses_lengths_jointly():
+    rng = random.Random(12)
+    ratios = []
+    for lengths, attention in (((5, 7, 12), None), ((8, 16, 32), 32.0), ((6, 10, 25), 40.0)):
+        price = lambda n: float(packing.cost(n, 1, attention))
+        for _ in range(40):
+            sizes = [rng.randrange(1, lengths[-1] + 1) for _ in range(rng.randrange(1, 8))]
+            bins, offsets, final = packing.best_fit(sizes, lengths, 1, attention)
+            loads = np.bincount(bins, weights=sizes)
+            assert (loads <= final).all() and set(final.tolist()) <= set(lengths)
+            ratios.append(sum(map(price, final.tolist())) / _cheapest(sizes, lengths, price))
+    assert min(ratios) > 1 - 1e-9 and np.mean(ratios) < 1.01 and max(ratios) < 1.25
+
+
+def test_a_mix_of_lengths_is_opened_where_it_is_cheaper():
+    sizes = np.concatenate([np.full(300, 500), np.full(100, 2000), np.random.default_rng(5).integers(3000, 8000, 100)])
+    total = lambda final: packing.cost(final).sum()
+    _, _, mixed = packing.best_fit(sizes)
+    assert len(set(mixed.tolist())) >= 3
+    assert total(mixed) <= total(packing.best_fit(sizes, (8192,))[2])
+    for c in packing.LENGTHS:
+        opens = [next(x for x in packing.LENGTHS if x >= max(n, c) or x == 8192) for n in range(8193)]
+        used = packing._place(sorted(sizes.tolist(), reverse=True), opens)[3]
+        assert total(mixed) <= total(np.array([next(x for x in packing.LENGTHS if x >= u) for u in used]))
+
+
+def test_packing_null_ids(spark):
+    rows = [(None, "a b c"), (None, "d"), (2**60 + 1, "e f"), (1, None), (None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), lengths=(4, 8)).collect()
+    assert Counter((r.doc_id, r.n_words) for r in got) == Counter((i, len(words_of(t))) for i, t in rows)
+
+
 def test_best_fit_wastes_little():
     sizes = np.random.default_rng(3).integers(1, 3000, 4000)
     _, _, final = packing.best_fit(sizes)
@@ -376,6 +429,23 @@ def test_top_k(spark):
     assert bitsliced.top_k(df.where("false")).count() == 0
 
 
+def test_large_vectors_and_repeated_keys(spark):
+    rows = [(20, [3e6, 1.0]), (20, [-0.5, 2.0]), (1, [2.5e6, -1.0]), (1, [0.25, 0.25]), (1, [0.25, 0.25]), (2, [-3e6, 0.0]), (3, [1e-300, -1e-300]), (40, [1.0]), (60, [])]
+    got = defaultdict(list)
+    for r in bitsliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    distinct = [(i, [math.floor(64 * x) for x in v]) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows)]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=False))
+    want = defaultdict(list)
+    for n, (i, v) in enumerate(distinct):
+        if i % 20 == 0:
+            want[i] += [(-dot(v, w), j) for m, (j, w) in enumerate(distinct) if m != n]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    far = spark.createDataFrame([(20, [1e300]), (21, [1e308]), (22, [-1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        bitsliced.top_k(far).collect()
+
+
 def test_blocks_and_groups_agree(spark, monkeypatch):
     rng = np.random.default_rng(10)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 0.2, 5)]) for i in range(300)], "vec_id long, embedding array<float>")
