@@ -6,16 +6,18 @@ a block.  All such coefficients have 9 bits, so with a Huffman table of two code
 (``0`` for a 9-bit coefficient without zeros before it, ``10`` for the end of a
 block) each takes ten bits, and frames are coded and decoded as whole arrays.
 
-``frames`` walks the RIFF chunks (or the ``idx1`` index, if it is sound) and
-``decode`` reads any baseline frame: the tables in the frame are used as they are,
-and only streams of the fixed-length kind above take the array path.
+``parse`` walks the RIFF chunks (or the ``idx1`` index, if it is sound) of all segments
+and ``decode`` reads any baseline frame, with the tables in the frame or, as usual in
+motion-JPEG, the standard ones if there are none; only streams of the fixed-length kind
+above take the array path.  Frames are decoded one by one, whatever the file's length.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,36 +143,59 @@ def _chunks(data: memoryview, at: int, end: int):
         at += 8 + size + size % 2
 
 
+def _pictures_in(data: memoryview, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of the video chunks in a list, also in its ``rec`` groups."""
+    for name, a, n in _chunks(data, at, end):
+        if name == b"LIST" and bytes(data[a : a + 4]) == b"rec ":
+            yield from _pictures_in(data, a + 4, a + n)
+        elif name[2:] in (b"dc", b"db"):
+            yield a, n
+
+
+def _indexed(data: memoryview, at: int, index: list[tuple]) -> list[tuple[int, int]]:
+    """Video chunks by the index, whose offsets count from the ``movi`` list or from the file's begin; none if it is not sound."""
+    named = [(name, off, n) for name, _, off, n in index if name[2:] in (b"dc", b"db")]
+    for begin in (at, 0):
+        if named and all(bytes(data[begin + off : begin + off + 4]) == name and begin + off + 8 + n <= len(data) for name, off, n in named):
+            return [(begin + off + 8, n) for _, off, n in named]
+    return []
+
+
 def parse(blob: bytes) -> Movie:
-    """Headers and frame places of an AVI; raises ValueError for anything else."""
+    """Headers and frame places of an AVI, ``AVIX`` segments included; raises ValueError for anything else.
+
+    A frame of length 0 repeats the one before.
+    """
     data = memoryview(blob)
     if len(data) < 12 or bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
         raise ValueError("no RIFF AVI")
-    movie, movi, index = Movie(0, 0, 1_000_000 // FPS, None, []), None, []
-    todo = list(_chunks(data, 12, len(data)))
-    while todo:
-        name, at, size = todo.pop(0)
-        if name == b"LIST":
-            kind = bytes(data[at : at + 4])
-            if kind == b"movi":
-                movi = (at, size)
-            elif kind in (b"hdrl", b"strl", b"INFO"):
-                todo += _chunks(data, at + 4, at + size)
-        elif name == b"avih" and size >= 40:
-            movie.frame_us = struct.unpack_from("<I", data, at)[0] or movie.frame_us
-            movie.width, movie.height = struct.unpack_from("<II", data, at + 32)
-        elif name == b"ICMT":
-            text = bytes(data[at : at + size]).strip(b"\0 ")
-            movie.n_bytes = int(text) if text.isdigit() else None
-        elif name == b"idx1":
-            index = [struct.unpack_from("<4sIII", data, p) for p in range(at, at + size - 15, 16)]
-    if movi is None:
+    movie, movis, index, at = Movie(0, 0, 1_000_000 // FPS, None, []), [], [], 0
+    while at + 12 <= len(data) and bytes(data[at : at + 4]) == b"RIFF":
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        # A length of 0 or beyond the end: the file was not closed, or is broken off.
+        end = min(at + 8 + size, len(data)) if size else len(data)
+        todo = list(_chunks(data, at + 12, end))
+        while todo:
+            name, a, n = todo.pop(0)
+            if name == b"LIST":
+                kind = bytes(data[a : a + 4])
+                if kind == b"movi":
+                    movis.append((a, n))
+                elif kind in (b"hdrl", b"strl", b"INFO"):
+                    todo += _chunks(data, a + 4, a + n)
+            elif name == b"avih" and n >= 40:
+                movie.frame_us = struct.unpack_from("<I", data, a)[0] or movie.frame_us
+                movie.width, movie.height = struct.unpack_from("<II", data, a + 32)
+            elif name == b"ICMT":
+                text = bytes(data[a : a + n]).strip(b"\0 ")
+                movie.n_bytes = int(text) if text.isdigit() else None
+            elif name == b"idx1" and not index:
+                index = [struct.unpack_from("<4sIII", data, p) for p in range(a, a + n - 15, 16)]
+        at = end + end % 2
+    if not movis:
         raise ValueError("no movi list")
-    at, size = movi
-    found = [(at + off + 8, n) for name, _, off, n in index if name[2:] in (b"dc", b"db")]
-    if not found or any(a + n > len(data) or data[a : a + 2] != b"\xff\xd8" for a, n in found if n):
-        found = [(a, n) for name, a, n in _chunks(data, at + 4, at + size) if name[2:] in (b"dc", b"db")]
-    movie.frames = [f for f in found if f[1]]
+    for k, (a, n) in enumerate(movis):
+        movie.frames += (_indexed(data, a, index) if k == 0 else []) or list(_pictures_in(data, a + 4, a + n))
     return movie
 
 
@@ -192,48 +217,87 @@ class Frame:
         return samples.reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)[: self.height, : self.width]
 
 
-def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    codes, code, at = {}, 0, 0
+def _standard(lengths: str, first: str) -> tuple[bytes, bytes]:
+    """Counts and symbols of an AC table: the named symbols, then all others in order."""
+    head = bytes.fromhex(first)
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return bytes.fromhex(lengths), head + bytes(sorted(set(every) - set(head)))
+
+
+#: The standard tables of baseline JPEG, which motion-JPEG frames leave out (class and number, counts, symbols).
+STANDARD = {
+    0x00: (bytes.fromhex("00010501010101010100000000000000"), bytes(range(12))),
+    0x01: (bytes.fromhex("00030101010101010101010000000000"), bytes(range(12))),
+    0x10: _standard("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    0x11: _standard("00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+}
+
+
+@lru_cache(maxsize=64)
+def _huffman(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits that may come, the length of the code at their head times 256 plus its symbol; 0 where there is none."""
+    out, at = np.zeros(1 << 16, np.int32), 0
+    code = 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
-            codes[length, code] = symbols[at]
+            first = code << (16 - length)
+            out[first : first + (1 << (16 - length))] = length << 8 | symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
-    return codes
+    return out.tolist()
 
 
 class _Bits:
+    """Reads a scan from its head: a few bytes at a time are held as one small number."""
+
     def __init__(self, scan: bytes):
-        self.value, self.left = int.from_bytes(scan, "big"), 8 * len(scan)
+        self.scan, self.at, self.held, self.n = scan + bytes(16), 0, 0, 0
+        self.end = 8 * len(scan)
 
-    def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+    def _fill(self) -> None:
+        if 8 * self.at - self.n > self.end:
             raise ValueError("the scan is too short")
-        return (self.value >> self.left) & ((1 << n) - 1)
-
-    def symbol(self, codes: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (s := codes.get((length, code))) is not None:
-                return s
-        raise ValueError("no such code")
+        self.held = (self.held & ((1 << self.n) - 1)) << 64 | int.from_bytes(self.scan[self.at : self.at + 8].ljust(8, b"\0"), "big")
+        self.n += 64
+        self.at += 8
+
+    def symbol(self, codes: list[int]) -> int:
+        if self.n < 16:
+            self._fill()
+        found = codes[(self.held >> (self.n - 16)) & 0xFFFF]
+        if not found:
+            raise ValueError("no such code")
+        self.n -= found >> 8
+        return found & 0xFF
 
     def signed(self, n: int) -> int:
         if not n:
             return 0
-        v = self.take(n)
+        if self.n < n:
+            self._fill()
+        self.n -= n
+        v = (self.held >> self.n) & ((1 << n) - 1)
         return v if v >> (n - 1) else v - (1 << n) + 1
 
+    def check(self) -> None:
+        """ValueError if more was read than there is."""
+        if 8 * self.at - self.n > self.end:
+            raise ValueError("the scan is too short")
+
 
 def decode(jpeg: bytes | memoryview) -> Frame:
     """A baseline JPEG's coefficients; ValueError for other processes or broken data."""
     data, at = bytes(jpeg), 2
-    quant, tables, restart, frame = {}, {}, 0, None
+    quant, tables, restart, frame = {}, dict(STANDARD), 0, None
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("no marker")
+        if data[at + 1] == 0xFF:
+            # Fill bytes may stand before a marker.
+            at += 1
+            continue
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -246,7 +310,7 @@ def decode(jpeg: bytes | memoryview) -> Frame:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[body[0]] = _huffman(body[1:17], body[17 : 17 + n])
+                tables[body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
@@ -267,6 +331,10 @@ def decode(jpeg: bytes | memoryview) -> Frame:
     raise ValueError("no scan")
 
 
+#: The two tables of ``encode``'s frames.
+_OWN = ((bytes([1, *[0] * 15]), b"\x00"), (bytes([1, 1, *[0] * 14]), b"\x09\x00"))
+
+
 def _scan(frame: Frame, scan: bytes, restart: int) -> None:
     parts = frame.components
     if len(parts) == 1:
@@ -275,7 +343,7 @@ def _scan(frame: Frame, scan: bytes, restart: int) -> None:
     across, down = -(-frame.width // (8 * h)), -(-frame.height // (8 * v))
     frame.coefficients = [np.zeros((down * c["v"], across * c["h"], 64), np.int32) for c in parts]
     only = parts[0]
-    if len(parts) == 1 and not restart and only["dc"] == {(1, 0): 0} and only["ac"] == {(1, 0): 9, (2, 2): 0}:
+    if len(parts) == 1 and not restart and (only["dc"], only["ac"]) == _OWN:
         bits = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8))
         n = across * down * _BITS
         if len(bits) >= n:
@@ -286,38 +354,47 @@ def _scan(frame: Frame, scan: bytes, restart: int) -> None:
                 low = np.packbits(np.ascontiguousarray(coded[:, :, 2:])).reshape(-1, PER_BLOCK)
                 frame.coefficients[0].reshape(-1, 64)[:, 1:] = low.astype(np.int32) + 256
                 return
-    pieces, at = [], 0
-    for i in range(len(scan) - 1):
-        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
-            pieces.append(scan[at:i])
-            at = i + 2
-    pieces.append(scan[at:])
+    marks = [m for m in np.flatnonzero(np.frombuffer(scan, np.uint8)[:-1] == 0xFF).tolist() if 0xD0 <= scan[m + 1] <= 0xD7] if len(scan) > 1 else []
+    pieces = [scan[a:b] for a, b in zip([0, *(m + 2 for m in marks)], [*marks, len(scan)], strict=True)]
+    codes = [(_huffman(*c["dc"]), _huffman(*c["ac"])) for c in parts]
     unit = 0
     for piece in pieces:
         bits, before = _Bits(piece.replace(b"\xff\x00", b"\xff")), [0] * len(parts)
+        symbol, signed = bits.symbol, bits.signed
         for _ in range(min(restart or across * down, across * down - unit)):
             y, x = divmod(unit, across)
             for k, c in enumerate(parts):
+                dc, ac = codes[k]
                 for i in range(c["v"]):
                     for j in range(c["h"]):
-                        block = frame.coefficients[k][y * c["v"] + i, x * c["h"] + j]
-                        before[k] += bits.signed(bits.symbol(c["dc"]))
-                        block[0] = before[k]
-                        at = 1
+                        before[k] += signed(symbol(dc))
+                        values, at = [before[k]] + [0] * 63, 1
                         while at < 64:
-                            s = bits.symbol(c["ac"])
-                            run, n = s >> 4, s & 15
+                            s = symbol(ac)
+                            n = s & 15
                             if not n:
-                                if run != 15:
+                                if s != 0xF0:
                                     break
                                 at += 16
                                 continue
-                            at += run
+                            at += s >> 4
                             if at > 63:
                                 raise ValueError("too many coefficients")
-                            block[at] = bits.signed(n)
+                            values[at] = signed(n)
                             at += 1
+                        frame.coefficients[k][y * c["v"] + i, x * c["h"] + j] = values
             unit += 1
+        bits.check()
+
+
+def pictures(blob: bytes, movie: Movie) -> Iterator[Frame | None]:
+    """The decoded frames one by one; None where a frame is empty or can't be decoded."""
+    data = memoryview(blob)
+    for a, n in movie.frames:
+        try:
+            yield decode(data[a : a + n]) if n else None
+        except (ValueError, KeyError, StopIteration, IndexError, struct.error):
+            yield None
 
 
 def read(blob: bytes) -> tuple[Movie, list[Frame]]:
@@ -326,18 +403,20 @@ def read(blob: bytes) -> tuple[Movie, list[Frame]]:
     return movie, [decode(data[a : a + n]) for a, n in movie.frames]
 
 
+def stored_in(frame: Frame) -> bytes:
+    """The bytes that ``encode`` stored in a frame, padding included."""
+    return (frame.coefficients[0][:, :, 1:].ravel() - 256).astype(np.uint8).tobytes()
+
+
 def payload_of(movie: Movie, frames_: list[Frame]) -> bytes:
     """The bytes that ``encode`` stored in these frames."""
-    parts = [f.coefficients[0][:, :, 1:].ravel() - 256 for f in frames_]
-    return np.concatenate(parts).astype(np.uint8).tobytes()[: movie.n_bytes]
+    return b"".join(map(stored_in, frames_))[: movie.n_bytes]
 
 
-def feature(movie: Movie, frames_: list[Frame]) -> str:
-    """Geometry, length, shots and mean luma of a video as text."""
-    hist = histograms(frames_)
-    cuts = shots(hist)
+def feature(movie: Movie, hist: np.ndarray) -> str:
+    """Geometry, length, shots and mean luma of a video as text, from its frames' histograms."""
     luma = float((hist.mean(axis=0) * (np.arange(HISTOGRAM_BINS) + 0.5)).sum() * 256 / HISTOGRAM_BINS)
-    return f"{movie.width}x{movie.height} frames={len(frames_)} ms={len(frames_) * movie.frame_us // 1000} shots={','.join(map(str, cuts))} luma={luma:.2f}"
+    return f"{movie.width}x{movie.height} frames={len(hist)} ms={len(hist) * movie.frame_us // 1000} shots={','.join(map(str, shots(hist)))} luma={luma:.2f}"
 
 
 def store_texts(documents: DataFrame, then: Callable[[int | None, int, bytes], dict], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,13 +441,27 @@ def store_texts(documents: DataFrame, then: Callable[[int | None, int, bytes], d
     return documents.select(key, text).mapInArrow(fn, schema)
 
 
-def histograms(frames_: list[Frame]) -> np.ndarray:
-    """Shares of luma values in 32 bins, one row a frame."""
-    out = np.zeros((len(frames_), HISTOGRAM_BINS))
-    for i, f in enumerate(frames_):
-        x = f.luma()
-        out[i] = np.bincount(x.ravel() >> 3, minlength=HISTOGRAM_BINS) / x.size
-    return out
+def histogram(frame: Frame) -> np.ndarray:
+    """Shares of luma values in 32 bins."""
+    x = frame.luma()
+    return np.bincount(x.ravel() >> 3, minlength=HISTOGRAM_BINS) / x.size
+
+
+def looks(blob: bytes, movie: Movie) -> tuple[np.ndarray, np.ndarray]:
+    """Histogram and mean luma of each frame; an empty or broken frame looks as the one before, one at the head as the first good one."""
+    hist, luma, early = [], [], 0
+    for f in pictures(blob, movie):
+        if f is not None:
+            hist.append(histogram(f))
+            luma.append(float(f.luma().mean()))
+        elif hist:
+            hist.append(hist[-1])
+            luma.append(luma[-1])
+        else:
+            early += 1
+    if not hist:
+        return np.zeros((0, HISTOGRAM_BINS)), np.zeros(0)
+    return np.array(hist[:1] * early + hist), np.array(luma[:1] * early + luma)
 
 
 def shots(hist: np.ndarray) -> list[int]:
@@ -386,31 +479,30 @@ def shots(hist: np.ndarray) -> list[int]:
 def clips(media: DataFrame, key: str = "media_id", blob: str = "avi") -> DataFrame:
     """Timed clip rows ``key, clip, first_frame, n_frames, start_ms, end_ms, mean_luma`` of AVI blobs.
 
-    Null blobs, blobs that are no AVI and AVIs without frames give no rows; a frame
-    that can't be decoded ends its video.  Repeated rows give repeated clips.
+    Null blobs, blobs that are no AVI and AVIs without any frame that can be decoded give
+    no rows.  Other broken frames, and empty ones, stand for the frame before (those at
+    the head for the first good one), so that times stay right.  Null keys are kept;
+    repeated rows give repeated clips; other columns are not read; an empty table gives
+    an empty table.
     """
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
 
     def fn(batches):
         for b in batches:
             rows = []
             for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    movie = parse(data.as_buffer().to_pybytes()) if data.is_valid else None
-                except ValueError:
+                if not data.is_valid:
                     continue
-                if movie is None:
+                raw = data.as_buffer().to_pybytes()
+                try:
+                    movie = parse(raw)
+                except (ValueError, struct.error):
                     continue
-                raw, good = data.as_buffer().to_pybytes(), []
-                for a, n in movie.frames:
-                    try:
-                        good.append(decode(raw[a : a + n]))
-                    except (ValueError, KeyError, StopIteration, IndexError, struct.error):
-                        break
-                cuts = shots(histograms(good))
-                for i, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(good)], strict=True)):
-                    mean = float(np.mean([f.luma().mean() for f in good[s:e]]))
-                    rows.append((k, i, s, e - s, s * movie.frame_us // 1000, e * movie.frame_us // 1000, mean))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=[key, "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_luma"])
+                hist, luma = looks(raw, movie)
+                cuts = shots(hist)
+                for i, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(hist)], strict=True) if cuts else ()):
+                    rows.append((k, i, s, e - s, s * movie.frame_us // 1000, e * movie.frame_us // 1000, float(luma[s:e].mean())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "clip", "first_frame", "n_frames", "start_ms", "end_ms", "mean_luma"])
 
     return media.select(key, blob).mapInArrow(fn, f"`{key}` long, clip int, first_frame int, n_frames int, start_ms long, end_ms long, mean_luma double")
 

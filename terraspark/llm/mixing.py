@@ -40,23 +40,32 @@ def with_word_count(df: DataFrame, text: str = "text", name: str = "size", keep_
     return df.mapInArrow(fn, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` long"]))
 
 
+#: Tables of one row a source are broadcast up to this many.
+SOURCES_MOST = 100_000
+
+
+def _with_source(rows: DataFrame, by_source: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with the columns of ``by_source`` (one row a source, null included, and ``n_rows``)."""
+    key = lambda df: df.withColumn("source_", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    rows, by_source = key(rows), key(by_source).drop("source")
+    if n_sources <= SOURCES_MOST:
+        return rows.join(F.broadcast(by_source.drop("n_rows")), "source_").drop("source_")
+    return T.joined(rows, by_source, "source_", "n_rows").drop("source_")
+
+
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
-    """``(source, source_size, weight)`` with ``target``; one row a source, so one small sorted pass."""
-    order = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    everywhere = Window.partitionBy()
-    x = (
-        sources.withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size").cast("double"))
-        .withColumn("goal", F.lit(float(share)) * F.sum(F.col("source_size").cast("double")).over(everywhere))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("weight").over(onward))
-    )
-    level = (F.col("goal") - F.col("capped")) / F.col("left_weight")
-    knee = F.when(level * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("o"), F.col("capped").alias("c"), F.col("left_weight").alias("w")))
-    x = x.withColumn("knee", F.min(knee).over(everywhere))
-    filled = (F.col("goal") - F.col("knee.c")) / F.col("knee.w") * F.col("weight")
-    return x.withColumn("target", F.when(F.col("knee").isNull(), F.col("cap")).otherwise(F.least("cap", filled))).select("source", "source_size", "weight", "target")
+    """``sources`` (a table of source, source_size, weight) with ``target``, from running sums in order of cap over weight."""
+    x = sources.withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size").cast("double"))
+    total, weights = x.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    goal = float(share) * (total or 0.0)
+    x = T.running(x, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"capped": "cap", "passed": "weight"})
+    left = F.lit(weights) - F.col("passed")
+    level = (F.lit(goal) - F.col("capped")) / left
+    # The first source that its share does not fill, and with it the level of all that follow.
+    first = x.where(level * F.col("weight") <= F.col("cap")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("o"), F.col("capped").alias("c"), left.alias("w"))).alias("knee")).first()
+    knee = first.knee if first else None
+    target = F.col("cap") if knee is None else F.least(F.col("cap"), (F.lit(goal) - F.lit(knee.c)) / F.lit(knee.w) * F.col("weight"))
+    return x.withColumn("target", target).select(*sources.columns, "target")
 
 
 #: Lengths of the key's heads (hexadecimal digits) by which the end of a prefix is sought.
@@ -69,37 +78,40 @@ def _key(doc_id: str, seed: str) -> Column:
 
 
 def plan_mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix") -> DataFrame:
-    """From ``(doc_id, source, size)``: ``(source, source_size, target, whole, last_key)``, one row a source.
+    """From ``(doc_id, source, size)``: ``(source, n_rows, source_size, target, whole, last_key)``, one row a source.
 
     Sources in code-point order, null last, get ``weights`` in turn.  Rows of a
     source whose seeded key is at most ``last_key`` are taken once more than
     ``whole`` times.
     """
     keyed = T.written(sizes.select("source", "size", _key("doc_id", seed).alias("key")), "mix-sizes")
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    sources = T.written(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "mix-sources")
+    n_sources = sources.count()
+    turn = (F.col("row") - 1) % len(weights)
+    sources = T.running(sources, [F.col("source").asc_nulls_last()], {})
+    sources = T.written(sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).drop("row"), "mix-weights")
     targets = water_fill(sources, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = T.written(targets, "mix-targets")
     # The bucket in which each source's prefix ends, by ever longer heads of the key: 256 sums a source at each step.
-    ends = targets.select("source", "need", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    ends = targets.select("source", "n_rows", "need", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
     for digits in BUCKET_DIGITS:
-        inside = keyed.alias("k").join(ends.alias("e"), same("k", "e") & F.col("k.key").startswith(F.col("e.bucket")))
-        sums = inside.groupBy("k.source", "need", "before", F.substring("k.key", 1, digits).alias("bucket")).agg(F.sum("size").alias("n"))
+        inside = _with_source(keyed, ends.withColumnRenamed("bucket", "head"), n_sources).where(F.col("key").startswith(F.col("head")))
+        sums = inside.groupBy("source", "need", "before", F.substring("key", 1, digits).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
         sums = sums.withColumn("start", F.col("before") + upto - F.col("n")).where(F.col("start") < F.col("need"))
-        ends = T.written(sums.groupBy("source", "need").agg(F.max(F.struct("bucket", "start")).alias("e")).select("source", "need", "e.bucket", F.col("e.start").alias("before")), "mix-ends")
-    inside = keyed.alias("k").join(ends.alias("e"), same("k", "e") & F.col("k.key").startswith(F.col("e.bucket")))
-    inside = inside.select("k.source", "key", "size", "need", "before")
+        last = F.max(F.struct("bucket", "start")).alias("e")
+        # How many rows a source has does not change with its bucket: the join is by source.
+        found = sums.groupBy("source", "need").agg(last).select("source", "need", "e.bucket", F.col("e.start").alias("before"))
+        ends = T.written(found.join(targets.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-ends")
+    inside = _with_source(keyed, ends, n_sources).where(F.col("key").startswith(F.col("bucket"))).select("source", "key", "size", "need", "before")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
     # A document is in if its middle is: the prefix misses the need by half a document at most.
     last = inside.withColumn("middle", upto - F.col("size") / 2.0).where(F.col("middle") < F.col("need")).groupBy("source").agg(F.max("key").alias("last_key"))
     plan = targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").join(last.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
     # Without a row inside the last bucket the prefix ends before that bucket.
-    return T.written(plan.select("t.source", "t.source_size", "t.target", "t.whole", F.coalesce("l.last_key", "e.bucket", F.lit("")).alias("last_key")), "mix-plan")
+    return T.written(plan.select("t.source", "t.n_rows", "t.source_size", "t.target", "t.whole", F.coalesce("l.last_key", "e.bucket", F.lit("")).alias("last_key")), "mix-plan")
 
 
 def mix(documents: DataFrame, sizes: DataFrame | None = None, seed: str = "mix", **options) -> DataFrame:
@@ -116,6 +128,7 @@ def mix(documents: DataFrame, sizes: DataFrame | None = None, seed: str = "mix",
     if sizes is None:
         sizes = with_word_count(documents.select("doc_id", "source", "text"), keep_text=False)
     plan = plan_mix(sizes, seed=seed, **options)
-    out = documents.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    reps = F.col("p.whole") + (_key("d.doc_id", seed) <= F.col("p.last_key")).cast("int")
-    return out.select("d.*", "p.source_size", "p.target", reps.alias("reps"))
+    renamed = plan.select("source", "n_rows", *[F.col(c).alias(f"plan_{c}_") for c in ("source_size", "target", "whole", "last_key")])
+    out = _with_source(documents, renamed, plan.count())
+    reps = F.col("plan_whole_") + (_key("doc_id", seed) <= F.col("plan_last_key_")).cast("int")
+    return out.select(*documents.columns, F.col("plan_source_size_").alias("source_size"), F.col("plan_target_").alias("target"), reps.alias("reps"))

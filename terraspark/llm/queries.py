@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernels as K
 from . import query_texts as Q
 from . import bitsliced, language, media, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
 
@@ -71,16 +71,23 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _media_digest(doc_id: int | None, n_bytes: int, avi: bytes) -> dict:
-    movie, frames = media.read(avi)
-    payload = media.payload_of(movie, frames)
+    movie, sha, tail, n, hist = media.parse(avi), hashlib.sha256(), b"", 0, []
+    # Frame by frame, so that a long payload is never held as coefficients.
+    for frame in media.pictures(avi, movie):
+        if frame is None:
+            raise ValueError("a stored frame can't be read back")
+        part = media.stored_in(frame)[: movie.n_bytes - n]
+        sha.update(part)
+        tail, n = (tail + part)[-64:], n + len(part)
+        hist.append(media.histogram(frame))
     return {
-        "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-        "media_bytes": len(avi), "media_sha256": hashlib.sha256(avi).hexdigest(), "feature": media.feature(movie, frames),
+        "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": n, "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(tail),
+        "media_bytes": len(avi), "media_sha256": hashlib.sha256(avi).hexdigest(), "feature": media.feature(movie, np.array(hist)), "n_clips": len(media.shots(np.array(hist))),
     }
 
 
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int"
     return media.store_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), _media_digest, schema)
 
 

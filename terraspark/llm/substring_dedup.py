@@ -11,12 +11,15 @@ to cover positions, so the two runs share an aligned anchor of 8 words
    does another block have it?  A hash that is in a third of all documents reaches
    its part once from each block, never once from each document.
 2. A window of 20 words is a candidate if one of its four anchors repeats.  The
-   anchors are extended: blocks send each candidate's whole 64-bit hash with its
-   first place in the block, and the part answers where the first place overall is.
+   anchors are extended: blocks send each candidate's hash of 96 bits, from two
+   independent polynomials over two independent hashes of each word, with its first
+   place in the block, and the part answers where the first place overall is.
 3. Each block removes the words of all windows that are not the first.
 
 The anchor pass only selects candidates: a chance collision of cut hashes costs
-time, not results.
+time, not results.  Windows are equal if their 96 bits are: among 10**12 candidates
+6e-6 chance collisions are expected.  Parts grow with the input up to two million
+hashes, so that a block's message to a part does not shrink before that.
 """
 
 from __future__ import annotations
@@ -49,6 +52,16 @@ class _Words:
         # A null id sorts before all others.
         self.ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
+    def second(self, windows: np.ndarray) -> np.ndarray:
+        """32 further bits of each window, from hashes of its words that are independent of the first."""
+        marks = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(marks, windows, 1)
+        np.add.at(marks, windows + WINDOW, -1)
+        inside = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        words = np.zeros(len(self.words), K.U64)
+        words[inside] = K.word_hashes(self.raw, self.starts[inside], self.ends[inside], lower=False, second=True)
+        return (K.window_hashes(words, windows, WINDOW, second=True) >> np.uint64(32)).astype(np.uint32)
+
     def place(self, at: np.ndarray) -> np.ndarray:
         """Row of each word index."""
         return np.searchsorted(self.first, at, side="right") - 1
@@ -105,7 +118,14 @@ def _repeated(parts_table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "kind": pa.array([1] * len(rows), pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
 
 
-_PLACES = pa.schema([("hash", pa.uint64()), ("doc", pa.int64()), ("start", pa.int64())])
+def _changes(hashes: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a sorted pair of hashes is another than the one before."""
+    out = np.ones(len(hashes), dtype=bool)
+    out[1:] = (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1])
+    return out
+
+
+_PLACES = pa.schema([("hash", pa.uint64()), ("second", pa.uint32()), ("doc", pa.int64()), ("start", pa.int64())])
 
 
 def _firsts(parts_table: pa.Table) -> pa.Table:
@@ -113,9 +133,9 @@ def _firsts(parts_table: pa.Table) -> pa.Table:
     at = parts_table.column("block").to_pylist()
     each = [T.unpack(x.as_buffer()) for x in parts_table.column("blob").combine_chunks()]
     sizes = np.cumsum([0, *(x.num_rows for x in each)])
-    hashes, doc, start = (np.concatenate([x.column(i).to_numpy() for x in each]) for i in range(3))
-    order = np.lexsort((start, doc, hashes))
-    group = np.cumsum(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) - 1
+    hashes, second, doc, start = (np.concatenate([x.column(i).to_numpy() for x in each]) for i in range(4))
+    order = np.lexsort((start, doc, second, hashes))
+    group = np.cumsum(_changes(hashes[order], second[order])) - 1
     lead = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
     first = np.empty(len(order), dtype=bool)
     # Equal places (a repeated row) are all first.
@@ -133,16 +153,17 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
 
-def _in_block(w: _Words, at: np.ndarray, hashes: np.ndarray):
-    """Distinct hashes of windows with their first place in the block, and per window its hash's index."""
+def _in_block(w: _Words, at: np.ndarray):
+    """Distinct hashes (both parts) of windows with their first place in the block, and per window its hash's index."""
+    hashes, second = K.window_hashes(w.words, at, WINDOW), w.second(at)
     row = w.place(at)
     doc, start = w.ids[row], at - w.first[row]
-    order = np.lexsort((start, doc, hashes))
-    new = np.r_[True, hashes[order][1:] != hashes[order][:-1]] if len(order) else np.empty(0, bool)
+    order = np.lexsort((start, doc, second, hashes))
+    new = _changes(hashes[order], second[order])
     lead = order[new]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    return hashes[lead], doc[lead], start[lead], which, doc, start
+    return hashes[lead], second[lead], doc[lead], start[lead], which, doc, start
 
 
 def remove_repeats(
@@ -164,8 +185,9 @@ def remove_repeats(
     documents = documents.drop("n_words", "n_removed", "kept_text")
     stored = T.blocks(documents, text)
     total = stored.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    # At most one word in two bytes; a part holds less than half a million anchors of usual text.
-    parts = T.parts_for(total // 20, 400_000, 8)
+    # About four anchors in 13 words of six bytes.
+    entries = total // 20
+    parts = T.parts_for(entries, min(2_000_000, max(400_000, entries // 20_000)), 8)
 
     def send_anchors(batches):
         for batch in batches:
@@ -183,13 +205,13 @@ def remove_repeats(
         seen, which, counts = _distinct(hashes)
         repeated = (T.bits_of(answers, 1, seen, parts) | (counts > 1))[which] if len(at) else np.empty(0, bool)
         windows = w.candidates(at, repeated)
-        return w, windows, _in_block(w, windows, K.window_hashes(w.words, windows, WINDOW))
+        return w, windows, _in_block(w, windows)
 
     def send_windows(batches):
         for batch in batches:
             for block, blob, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                _, _, (hashes, doc, start, *_) = looked_up(T.unpack(blob.as_buffer()), answers)
-                packed = pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(doc), pa.array(start)], schema=_PLACES)
+                _, _, (hashes, second, doc, start, *_) = looked_up(T.unpack(blob.as_buffer()), answers)
+                packed = pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, second, doc, start)], schema=_PLACES)
                 yield _sent([(p, block, T.pack(packed.slice(a, b - a))) for p, a, b in T.by_part(hashes, parts)])
 
     with_anchors = stored.select("block", "blob").join(T.replies_by_block(replies), "block", "left")
@@ -203,7 +225,7 @@ def remove_repeats(
         for batch in batches:
             for blob, answers in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 rows = T.unpack(blob.as_buffer())
-                w, windows, (hashes, _, _, which, doc, start) = looked_up(rows, answers)
+                w, windows, (hashes, _, _, _, which, doc, start) = looked_up(rows, answers)
                 is_first = T.bits_of(answers, 2, hashes, parts)
                 # The window at the first place is the block's first one, if that is the first of all.
                 lead_doc, lead_start = _leads(hashes, which, doc, start)

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -65,6 +65,28 @@ def joined(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> DataFram
     return spread_out.unionByName(rest)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], per_range: int = 100_000) -> DataFrame:
+    """``df`` (a written table) with ``row`` (from 1) and, for each ``name: column`` of ``sums``, the sum over all rows before it.
+
+    ``order`` must be total.  Beyond ``per_range`` rows they are dealt into ranges of the
+    order, and only the ranges' sums, one row each, meet in one task.
+    """
+
+    def within(x: DataFrame, w: WindowSpec) -> DataFrame:
+        before = {n: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n, c in sums.items()}
+        return x.withColumns({"row": F.row_number().over(w)} | before)
+
+    n = df.count()
+    if n <= per_range:
+        return within(df, Window.orderBy(*order))
+    ranged = written(df.repartitionByRange(parts_for(n, per_range), *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("range_").agg(F.count("*").alias("row_"), *[F.sum(c).alias(f"{n}_") for n, c in sums.items()])
+    upto = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("range_", *[F.coalesce(F.sum(f"{n}_").over(upto), F.lit(0)).alias(f"{n}_") for n in ("row", *sums)])
+    out = within(ranged, Window.partitionBy("range_").orderBy(*order)).join(F.broadcast(earlier), "range_")
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_") for n in ("row", *sums)}).drop("range_", *[f"{n}_" for n in ("row", *sums)])
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan of fewer partitions than there are cores (a single small file), dealt out by key; any other as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism

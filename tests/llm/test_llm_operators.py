@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 
 from terraspark.llm import bitsliced, components, language, media, mixing, near_dedup, packing, quality, samples, sharding, substring_dedup, tables, toxicity
@@ -199,6 +200,17 @@ def test_mix(documents, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_many_sources_take_the_other_way(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, rng.choice([None, *"abcdefghij"]), prose(rng, rng.randrange(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(tuple(r) for r in mixing.mix(df).select("doc_id", "source_size", F.round("target", 6), "reps").collect())
+    monkeypatch.setattr(mixing, "SOURCES_MOST", 2), monkeypatch.setattr(tables, "HOT_ROWS", 20)
+    plain = tables.running
+    monkeypatch.setattr(tables, "running", lambda df, order, sums: plain(df, order, sums, per_range=3))
+    assert sorted(tuple(r) for r in mixing.mix(df).select("doc_id", "source_size", F.round("target", 6), "reps").collect()) == want
+
+
 def test_water_fill_reshares(spark):
     df = spark.createDataFrame([("a", 10, 5.0), ("b", 100, 2.0), ("c", 1000, 1.0)], "source string, source_size long, weight double")
     got = {r.source: r.target for r in mixing.water_fill(df, 1.5, 2.0).collect()}
@@ -502,6 +514,85 @@ def test_shots_and_clips(spark):
     assert media.clips(df.where("false")).count() == 0
 
 
+def _coded(rng, wide, high, tables=True):
+    """A frame of random coefficients, coded with the standard tables by a plain coder, and its coefficients."""
+    codes = {}
+    for which in (0x00, 0x10):
+        counts, symbols = media.STANDARD[which]
+        code, at = 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                codes[which, symbols[at]] = f"{code:0{length}b}"
+                code, at = code + 1, at + 1
+            code <<= 1
+    size = lambda v: abs(v).bit_length()
+    value = lambda v: f"{v if v > 0 else v + (1 << size(v)) - 1:0{size(v)}b}" if v else ""
+    bits, before, want = [], 0, np.zeros((high, wide, 64), int)
+    for y in range(high):
+        for x in range(wide):
+            want[y, x, 0] = rng.randrange(-500, 500)
+            for k in range(1, 64):
+                want[y, x, k] = rng.choice([0, 0, 1, -3, 30, -200]) if rng.random() < 0.7 else 0
+            d, before = int(want[y, x, 0]) - before, int(want[y, x, 0])
+            bits.append(codes[0, size(d)] + value(d))
+            run = 0
+            last = max(np.flatnonzero(want[y, x, 1:]), default=-1) + 1
+            for v in want[y, x, 1 : last + 1].tolist():
+                if not v:
+                    run += 1
+                    continue
+                bits.append(codes[0x10, 0xF0] * (run // 16) + codes[0x10, (run % 16) << 4 | size(v)] + value(v))
+                run = 0
+            if last < 63:
+                bits.append(codes[0x10, 0])
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    scan = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+    seg = media._segment
+    dht = b"".join(seg(0xC4, bytes([w]) + media.STANDARD[w][0] + media.STANDARD[w][1]) for w in (0x00, 0x10)) if tables else b""
+    head = seg(0xDB, bytes([0] + [1] * 64)) + seg(0xC0, struct.pack(">BHHB", 8, 8 * high, 8 * wide, 1) + bytes([1, 0x11, 0]))
+    return b"\xff\xd8" + head + dht + seg(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9", want
+
+
+def test_standard_tables_are_implied():
+    for which in (0x10, 0x11):
+        counts, symbols = media.STANDARD[which]
+        assert sum(counts) == len(symbols) == len(set(symbols)) == 162
+    frame, want = _coded(random.Random(3), 5, 4)
+    bare, _ = _coded(random.Random(3), 5, 4, tables=False)
+    assert (media.decode(frame).coefficients[0] == want).all() and (media.decode(bare).coefficients[0] == want).all()
+    with pytest.raises(ValueError):
+        media.decode(frame[: len(frame) // 2])
+
+
+def test_a_large_frame_takes_linear_time():
+    import time
+
+    frame, want = _coded(random.Random(4), 130, 170)
+    begin = time.perf_counter()
+    got = media.decode(frame)
+    assert len(frame) > 1_000_000 and (got.coefficients[0] == want).all() and time.perf_counter() - begin < 30
+
+
+def test_bad_frames_groups_and_segments(spark):
+    frames = [_flat_frame(x) for x in [40] * 4 + [-60] * 4]
+    frames[0], frames[2], frames[6] = b"junk", b"", b"\xff\xd8\xff"
+    avi = media.avi(frames, 16, 16, 0)
+    df = spark.createDataFrame([(1, avi)], "media_id long, avi binary")
+    clips = lambda x: sorted((r.clip, r.first_frame, r.n_frames) for r in media.clips(x).collect())
+    assert clips(df) == [(0, 0, 4), (1, 4, 4)]
+    # The same frames in a rec group, and in a second segment.
+    good = [_flat_frame(40), _flat_frame(-60)]
+    whole = media.avi(good, 16, 16, 0)
+    at = whole.index(b"LIST", whole.index(b"INFO"))
+    group = media._chunk(b"LIST", b"rec " + b"".join(media._chunk(b"00dc", f) for f in good))
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"00dc", _flat_frame(90))))
+    body = b"AVI " + whole[12:at] + media._chunk(b"LIST", b"movi" + group)
+    movie = media.parse(media._chunk(b"RIFF", body) + more)
+    assert len(movie.frames) == 3
+    assert [(whole + b"").count(f) for f in good] == [1, 1]
+
+
 def test_index_is_optional():
     frames = [_flat_frame(10), _flat_frame(20)]
     avi = media.avi(frames, 16, 16, 0)
