@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +83,51 @@ def huber_weight(residual: Column, sigma: Column) -> Column:
     """1 within 1.345 sigma, falling as its inverse beyond."""
     delta = 1.345 * F.when(sigma == 0, F.lit(1e-8)).otherwise(sigma)
     return F.when(F.abs(residual) <= delta, F.lit(1.0)).otherwise(delta / (F.abs(residual) + 1e-8))
+
+
+# The same fit on arrays: one row a series, one column a date.
+
+
+def basis_array(t: np.ndarray, harmonics: int) -> np.ndarray:
+    """The basis at each time, along a last axis."""
+    parts = [f(2 * math.pi * k * t) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)]
+    return np.stack([*parts, np.ones_like(t)], axis=-1)
+
+
+def solve_arrays(m: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Solutions of many small symmetric systems; 0 in place of what a vanishing pivot leaves undefined."""
+    m, r = m.copy(), r.copy()
+    n = r.shape[1]
+    lower, pivots = np.zeros_like(m), np.empty_like(r)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(n):
+            pivots[:, k] = np.where(m[:, k, k] == 0, np.nan, m[:, k, k])
+            column = m[:, :, k].copy()
+            lower[:, :, k] = column / pivots[:, k, None]
+            r[:, k + 1 :] -= lower[:, k + 1 :, k] * r[:, k, None]
+            m[:, k + 1 :, k + 1 :] -= lower[:, k + 1 :, k, None] * column[:, None, k + 1 :]
+        x = np.empty_like(r)
+        for k in reversed(range(n)):
+            x[:, k] = r[:, k] / pivots[:, k] - (lower[:, k + 1 :, k] * x[:, k + 1 :]).sum(axis=1)
+    return np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def masked_variance(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Population variance of each row's entries where ``there`` holds."""
+    n = np.maximum(there.sum(axis=1), 1)
+    mean = np.where(there, x, 0).sum(axis=1) / n
+    return np.where(there, (x - mean[:, None]) ** 2, 0).sum(axis=1) / n
+
+
+def irls_arrays(basis: np.ndarray, y: np.ndarray, weights: np.ndarray, there: np.ndarray, iterations: int, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and last residuals of the re-weighted fit; parameters are 0 where ``enough`` is false."""
+    for _ in range(iterations):
+        weighted = basis * weights[..., None]
+        x = solve_arrays(np.einsum("kti,ktj->kij", weighted, basis), np.einsum("kti,kt->ki", weighted, y))
+        x[~enough] = 0.0
+        residual = y - np.einsum("kti,ki->kt", basis, x)
+        sigma = np.sqrt(masked_variance(residual, there))
+        delta = 1.345 * np.where(sigma == 0, 1e-8, sigma)[:, None]
+        size = np.abs(residual)
+        weights = weights * np.where(size <= delta, 1.0, delta / (size + 1e-8))
+    return x, residual

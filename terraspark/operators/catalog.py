@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed forms of the files' names, which must match the data.
 TILE = r"s2_(EPSG\d+_\d+_\d+)\.tif$"
 PERIOD = r"/(\d{4})/(\d{2})-(\d{2})_plus_minus_30_days/"
 SINGLE_DATE = r"(\d{4})-(\d{2})-(\d{2})_[^/]*S2[AB]_DL_PHENOLOGY\.tif$"
@@ -45,6 +46,38 @@ def time_series(paths: DataFrame, years: Sequence[int] | None = None, with_dem:
     return x.select("tile_id", F.col("items.date").alias("dates"), F.col("items.path").alias("paths"))
 
 
+def single_dates(paths: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """``path, date`` of files named by a single date, in order of date; ValueError if there are none."""
+    x = paths.select("path", period_date(F.col("path"), SINGLE_DATE).alias("date")).where("date is not null")
+    if years is not None:
+        x = x.where(F.year("date").isin(*years))
+    if x.isEmpty():
+        raise ValueError("no file of the wanted years")
+    return x.orderBy("date", "path")
+
+
+def with_masks(obs: DataFrame, masks: DataFrame, keys: Sequence[str], mask: str = "clear") -> DataFrame:
+    """Observations with the cloud mask of the same pixel and date; 1 (clear) where there is none."""
+    return obs.join(masks.select(*keys, mask), list(keys), "left").withColumn(mask, F.coalesce(F.col(mask).cast("double"), F.lit(1.0)))
+
+
+def sliced(df: DataFrame, order: Sequence[str], start: int, end: int | None = None) -> DataFrame:
+    """Rows ``start`` (from 0) up to but not including ``end`` in an order of columns."""
+    out = df.orderBy(*order).offset(start)
+    return out if end is None else out.limit(max(end - start, 0))
+
+
+def regions_by_name(metrics: DataFrame, names: DataFrame, geometry: DataFrame | None = None) -> DataFrame:
+    """Metrics of regions under their translated names (region, name), with their geometry, sorted by name.
+
+    Names and geometries are one row a region.  Regions without a translation keep a null name and come last.
+    """
+    out = metrics.join(names, "region", "left")
+    if geometry is not None:
+        out = out.join(geometry, "region", "left")
+    return out.orderBy(F.col("name").asc_nulls_last(), "region")
+
+
 def paired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mosaics with their quality files, truly matched on the keys; without a match null."""
     return left.join(right, list(keys), "left")

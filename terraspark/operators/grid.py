@@ -68,7 +68,12 @@ def regrid_nearest(df: DataFrame, value: str, target: DataFrame, ratio: float) -
 def regrid_bilinear(df: DataFrame, value: str, target: DataFrame, ratio: float) -> DataFrame:
     """Weighted mean of the four source cells around each target centre; missing ones are left out of the weights."""
     y, x = (F.col("r") + 0.5) * ratio - 0.5, (F.col("c") + 0.5) * ratio - 0.5
-    at = target.withColumns({"y": y, "x": x}).withColumns({"y0": F.floor("y").cast("int"), "x0": F.floor("x").cast("int")})
+    return _bilinear(df, value, target, target.withColumns({"y": y, "x": x}))
+
+
+def _bilinear(df: DataFrame, value: str, target: DataFrame, at: DataFrame) -> DataFrame:
+    """Weighted means around the places ``y, x`` (in cells, centres whole) of ``at``."""
+    at = at.withColumns({"y0": F.floor("y").cast("int"), "x0": F.floor("x").cast("int")})
     fy, fx = F.col("y") - F.col("y0"), F.col("x") - F.col("x0")
     corner = lambda dy, dx, w: F.struct((F.col("y0") + dy).alias("sr"), (F.col("x0") + dx).alias("sc"), w.alias("w"))
     corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
@@ -120,6 +125,94 @@ def geographic_to_lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta) + LAMBERT93["x0"], F.lit(rho0) - rho * F.cos(theta) + LAMBERT93["y0"]
 
 
+#: Points on each edge of bounds that are transformed, corners included.
+EDGE_POINTS = 23
+
+
+def with_geographic_bounds(df: DataFrame, points: int = EDGE_POINTS) -> DataFrame:
+    """Adds ``west, south, east, north`` of Lambert-93 bounds (left, bottom, right, top).
+
+    An edge is a curve in geographic coordinates, so extremes are taken over points
+    along all four edges and not over the corners alone.
+    """
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / (points - 1))
+    along = lambda a, b: lambda f: F.col(a) + (F.col(b) - F.col(a)) * f
+    x, y = along("left", "right"), along("bottom", "top")
+
+    def at(px, py):
+        lon, lat = lambert93_to_geographic(px, py)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    edges = [
+        lambda f: at(x(f), F.col("bottom")),
+        lambda f: at(x(f), F.col("top")),
+        lambda f: at(F.col("left"), y(f)),
+        lambda f: at(F.col("right"), y(f)),
+    ]
+    out = df.withColumn("edge_", F.concat(*[F.transform(steps, e) for e in edges]))
+    ends = {"west": F.array_min("edge_.lon"), "south": F.array_min("edge_.lat"), "east": F.array_max("edge_.lon"), "north": F.array_max("edge_.lat")}
+    return out.withColumns(ends).drop("edge_")
+
+
+def window_bounds(df: DataFrame) -> DataFrame:
+    """Adds ``left, bottom, right, top`` of windows (row_off, col_off, height, width) on a grid (grid_left, grid_top, res)."""
+    left, top = F.col("grid_left") + F.col("col_off") * F.col("res"), F.col("grid_top") - F.col("row_off") * F.col("res")
+    return df.withColumns({"left": left, "bottom": top - F.col("height") * F.col("res"), "right": left + F.col("width") * F.col("res"), "top": top})
+
+
+def sample(df: DataFrame, value: str, target: DataFrame, to: tuple[float, float, float], source: tuple[float, float, float], whole_offsets: bool = False) -> DataFrame:
+    """``value`` of the source cell under each target cell's centre; grids are (left, top, resolution), cells outside give null.
+
+    With ``whole_offsets`` the window begins at a whole source cell (its offset truncated).
+    """
+    (left, top, res), (source_left, source_top, source_res) = to, source
+    row0, col0 = (source_top - top) / source_res, (left - source_left) / source_res
+    if whole_offsets:
+        row0, col0 = int(row0), int(col0)
+    ratio = res / source_res
+    at = target.withColumns({"sr": F.floor(F.lit(float(row0)) + (F.col("r") + 0.5) * ratio).cast("int"), "sc": F.floor(F.lit(float(col0)) + (F.col("c") + 0.5) * ratio).cast("int")})
+    return at.join(df.select(F.col("r").alias("sr"), F.col("c").alias("sc"), value), ["sr", "sc"], "left").select("r", "c", value)
+
+
+def warp(df: DataFrame, value: str, target: DataFrame, x: Column, y: Column, source: tuple[float, float, float], method: str = "bilinear") -> DataFrame:
+    """``value`` of a source grid (left, top, resolution) at each target cell, whose place in the source's coordinates is ``x, y``.
+
+    ``bilinear`` is the weighted mean of the four cells around, of those that have a
+    value; ``nearest`` takes the cell that holds the point.  Outside it is null.
+    """
+    if method not in ("bilinear", "nearest"):
+        raise ValueError(method)
+    left, top, res = source
+    at = target.withColumns({"y": (F.lit(top) - y) / res, "x": (x - F.lit(left)) / res})
+    if method == "nearest":
+        at = at.withColumns({"sr": F.floor("y").cast("int"), "sc": F.floor("x").cast("int")})
+        return at.join(df.select(F.col("r").alias("sr"), F.col("c").alias("sc"), value), ["sr", "sc"], "left").select("r", "c", value)
+    return _bilinear(df, value, target, at.withColumns({"y": F.col("y") - 0.5, "x": F.col("x") - 0.5}))
+
+
+def masked(inference: DataFrame, inference_grid: tuple[float, float, float], mask: DataFrame, mask_grid: tuple[float, float, float], shapes: tuple[tuple[int, int], tuple[int, int]], value: str = "v", flag: str = "m") -> DataFrame:
+    """``r, c, value`` of a raster on the common extent at the finest resolution, 0 where the mask is not 1.
+
+    Grids are (left, top, resolution), shapes (rows, columns).  The extent is the
+    intersection of both bounds; each raster is sampled there at the cells' centres.
+    """
+    spark = inference.sparkSession
+    bounds = [(g[0], g[1] - s[0] * g[2], g[0] + s[1] * g[2], g[1], g[2], "same") for g, s in zip((inference_grid, mask_grid), shapes, strict=True)]
+    extent = common_extent(spark.createDataFrame(bounds, "left double, bottom double, right double, top double, res double, crs string")).first()
+    to = (extent.left, extent.top, extent.res)
+    cells = target_grid(spark, extent.height, extent.width)
+    both = sample(inference, value, cells, to, inference_grid).join(sample(mask, flag, cells, to, mask_grid), ["r", "c"])
+    return both.select("r", "c", F.when(F.col(flag) == 1, F.coalesce(F.col(value), F.lit(0))).otherwise(F.lit(0)).alias(value))
+
+
+def require_one_crs(catalog: DataFrame, crs: str = "crs") -> str | None:
+    """The reference system that all inputs share (None without any); ValueError if there are several."""
+    found = [r[0] for r in catalog.select(crs).distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"inputs differ in their reference system: {sorted(map(str, found))}")
+    return found[0] if found else None
+
+
 def height_mask(heights: DataFrame, value: str, target: DataFrame, ratio: float, least: float = 0.0) -> DataFrame:
     """``r, c, forest``: 1 where the nearest canopy height is at least ``least``, else 0."""
     x = regrid_nearest(heights, value, target, ratio)

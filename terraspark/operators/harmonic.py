@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import harmonics as H
 from ..functions import spectral as S
 from .lineage import cut
+from .stats import percentiles
 
 
 def first_date(obs: DataFrame, date: str = "obs_date"):
@@ -77,14 +80,72 @@ def irls(df: DataFrame, keys: Sequence[str], y: str, harmonics: int = 2, iterati
     return df
 
 
+def robust(df: DataFrame, keys: Sequence[str], ys: Sequence[str], harmonics: int = 2, iterations: int = 3, weight: Column | None = None) -> DataFrame:
+    """Robust fits of several series with one row a key: ``keys, n_obs, x_i_y, variance_y``.
+
+    The same fit as ``irls`` for each series: gaps are filled by the series' mean at
+    weight 0, each iteration solves and multiplies the weights by Huber's.  One shuffle
+    gathers a key's dates (as many as there are acquisitions); the kernel solves all keys
+    of a batch at once.  Keys with fewer than 2H+1 weighted rows get parameters 0.
+    """
+    if harmonics < 1 or iterations < 1:
+        raise ValueError("at least one harmonic and one iteration are needed")
+    n, names = 2 * harmonics + 1, list(keys)
+    w = weight if weight is not None else F.lit(1.0)
+    items = F.collect_list(F.struct(F.col("t").cast("double").alias("t"), w.cast("double").alias("w"), *[F.col(y).cast("double").alias(y) for y in ys])).alias("items_")
+    grouped = df.groupBy(*names).agg(items)
+    columns = ["n_obs", *[f"x_{i}_{y}" for y in ys for i in range(n)], *[f"variance_{y}" for y in ys]]
+
+    def fn(batches):
+        for batch in batches:
+            listed = batch.column(len(names))
+            lengths = np.asarray(listed.value_lengths())
+            field = lambda c: listed.flatten().field(c).to_numpy(zero_copy_only=False)
+            shape = (len(lengths), int(lengths.max(initial=0)))
+            there = np.arange(shape[1])[None, :] < lengths[:, None]
+
+            def spread(values: np.ndarray, empty: float) -> np.ndarray:
+                out = np.full(shape, empty)
+                out[there] = values
+                return out
+
+            t, w0 = spread(field("t"), 0.0), spread(field("w"), 0.0)
+            basis = H.basis_array(t, harmonics)
+            results, n_obs = {}, None
+            for y in ys:
+                v = spread(field(y), np.nan)
+                gap = np.isnan(v)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    mean = np.where(gap, 0, v).sum(axis=1) / (~gap).sum(axis=1)
+                v = np.where(gap, mean[:, None], v)
+                weights = np.where(gap, 0.0, w0)
+                # As with several series in one fit, a row counts if it weighs in the last of them.
+                n_obs = (weights > 0).sum(axis=1)
+                x, residual = H.irls_arrays(basis, np.nan_to_num(v), weights, there, iterations, n_obs >= n)
+                for i in range(n):
+                    results[f"x_{i}_{y}"] = x[:, i]
+                none = ~(there & ~np.isnan(v)).any(axis=1)
+                results[f"variance_{y}"] = np.where(none, np.nan, H.masked_variance(residual, there))
+            results["n_obs"] = n_obs
+            arrays = [pa.array(results[c], pa.int64() if c == "n_obs" else pa.float64(), from_pandas=True) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *arrays], names=[*names, *columns])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in grouped.schema.fields[:-1]] + [f"`{c}` {'long' if c == 'n_obs' else 'double'}" for c in columns])
+    return grouped.mapInArrow(fn, schema)
+
+
 def collapse(fitted: DataFrame, keys: Sequence[str], n: int, extra: Sequence[Column] = ()) -> DataFrame:
     """One row a key from ``irls``; already partitioned by the keys."""
     return fitted.groupBy(*keys).agg(*[F.first(f"x_{i}_y").alias(f"x_{i}_y") for i in range(n)], F.count("*").alias("n_rows"), F.var_pop("residual").alias("residual_variance"), *extra)
 
 
-def features(obs: DataFrame, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",), weight: Column | None = None) -> DataFrame:
-    """Amplitude, cosine of phase and offset of each index, wide: the sums of the design are shared by all indices."""
-    fitted = wls(obs, keys, S.INDICES, harmonics, weight)
+def features(obs: DataFrame, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",), weight: Column | None = None, max_iter: int = 1) -> DataFrame:
+    """Amplitude, cosine of phase and offset of each index, wide.
+
+    With one iteration the sums of the design are shared by all indices; with more each
+    index is re-weighted by its own residuals.
+    """
+    fitted = wls(obs, keys, S.INDICES, harmonics, weight) if max_iter == 1 else robust(obs, keys, S.INDICES, harmonics, max_iter, weight)
     out = []
     for y in S.INDICES:
         for k in range(1, harmonics + 1):
@@ -145,7 +206,11 @@ def irls_until(
         before = old.select("group_", *keys, *[F.col(x).alias(f"old_{x}") for x in xs])
         change = F.array(*[F.abs(F.col(x) - F.col(f"old_{x}")) / F.greatest(F.abs(F.col(f"old_{x}")), F.lit(1e-5)) for x in xs])
         moved = now.join(before, ["group_", *keys]).select("group_", F.explode(change).alias("change"))
-        value = cut(moved.groupBy("group_").agg(F.percentile("change", F.lit(percentile)).alias("value")))
+        if group:
+            value = cut(moved.groupBy("group_").agg(F.percentile("change", F.lit(percentile)).alias("value")))
+        else:
+            # The whole table is one group: its percentile is sought by bins.
+            value = df.sparkSession.range(1).select(F.lit(0).alias("group_"), F.lit(percentiles(moved, "change", [percentile])[0]).cast("double").alias("value")).where("value is not null")
         if callback:
             callback(k, [(r["group_"], r["value"]) for r in value.limit(100).collect()])
         stopped = value if k == max_iter else value.where(F.col("value") < tolerance)

@@ -1,16 +1,28 @@
-"""Cutting a plan's lineage in iterative operators."""
+"""Cutting a plan's lineage in iterative operators, and the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        path = tempfile.mkdtemp(prefix="terraspark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="terraspark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare
+from ..operators.lineage import cut
 
 #: Fixed names of the eco-regions 1 to 11.
 REGIONS = {
@@ -44,3 +45,17 @@ def against(references: Mapping[str, DataFrame]) -> DataFrame:
         one = compare.by_region(pairs(pixels)).withColumn("prefix", F.lit(prefix))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def against_each(references: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The same, each reference by itself: one that can't be read or compared gives a line of its error, and the others their rows."""
+    out, errors = None, {}
+    for prefix, read in references.items():
+        try:
+            one = compare.by_region(pairs(read())).withColumn("prefix", F.lit(prefix))
+            one = cut(one)
+        except Exception as e:  # noqa: BLE001  whatever a reference's files do
+            errors[prefix] = type(e).__name__
+            continue
+        out = one if out is None else out.unionByName(one)
+    return out, errors

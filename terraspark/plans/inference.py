@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import harmonics as H
 from ..functions import spectral as S
-from ..operators import harmonic, model
+from ..operators import harmonic, model, neighbourhood
 
 
-def feature_table(obs: DataFrame, dem: DataFrame | None = None, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",), mask: Column | None = None, t0=None) -> DataFrame:
-    """Features of each pixel from raw bands: one shuffle for the fit, one join for the elevation (0 if missing)."""
+def feature_table(obs: DataFrame, dem: DataFrame | None = None, harmonics: int = 2, keys: Sequence[str] = ("pixel_id",), mask: Column | None = None, t0=None, max_iter: int = 1) -> DataFrame:
+    """Features of each pixel from raw bands: one shuffle for the fit, one join for the elevation (0 if missing).
+
+    ``max_iter`` iterations of the re-weighted fit are made.
+    """
     x = S.to_reflectance(harmonic.time_axis(obs, t0=t0))
     weight = S.quality_weight(mask=mask)
     x = S.with_indices(x.withColumn("weight", weight))
-    out = harmonic.features(x, harmonics, keys, F.col("weight"))
+    out = harmonic.features(x, harmonics, keys, F.col("weight"), max_iter)
     if dem is None:
         return out.withColumn("elevation", F.lit(0.0))
     return out.join(dem.select(*keys, F.col("elevation").cast("double").alias("elevation")), list(keys), "left").withColumn("elevation", F.coalesce("elevation", F.lit(0.0)))
@@ -62,6 +65,16 @@ def classify_encoded(encoded: DataFrame, nodes=model.DEMO_TREES, mode: str = "pr
     return scored.select(*keys, value.alias("value"))
 
 
+def classify_with_aspect(encoded: DataFrame, dem: DataFrame, resolution: float, nodes=model.DEMO_TREES, sigma: float = 3.0) -> DataFrame:
+    """First-generation classification of (pixel_id, r, c) with elevation from ``dem`` (r, c, elevation), and the slope's direction beside it."""
+    smooth = neighbourhood.gradient(neighbourhood.gaussian(dem, "elevation", sigma), "elevation", resolution)
+    directions = smooth.select("r", "c", neighbourhood.aspect(F.col("dy"), F.col("dx")).alias("aspect"))
+    features = decoded_features(encoded).drop("elevation").join(encoded.select("pixel_id", "r", "c"), "pixel_id")
+    features = features.join(dem.select("r", "c", F.col("elevation").cast("double").alias("elevation")), ["r", "c"], "left").withColumn("elevation", F.coalesce("elevation", F.lit(0.0)))
+    scored = model.score(features, nodes).select("pixel_id", "r", "c", F.when(F.col("probability") > 0.5, 2).otherwise(1).alias("value"))
+    return scored.join(directions, ["r", "c"], "left")
+
+
 def remaining_inference(obs: DataFrame, state: DataFrame, tile: str = "tile_idx", **options) -> DataFrame:
     """Inference over the tiles that aren't completed; failed tiles simply stay in the remainder."""
     todo = obs.join(state.where("completed = 1").select(tile).distinct(), tile, "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from ..fixtures import CTE
 from ..functions.spectral import CRSWIR_SLOPE
 from ..operators.model import DEMO_TREES
-from ..operators.neighbourhood import kernel
 from .comparison import REGIONS
 
 PI = "3.141592653589793"
@@ -141,7 +142,7 @@ def _describe(by: str, columns: list[str], source: str) -> str:
     return (
         f"select {by + ', ' if by else ''}name, count(*) as n, count(x) as n_valid, round(min(x), 6) as low, round(max(x), 6) as high, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, "
         f"round(quantile_cont(x, 0.5), 6) as median, count(*) filter (where x = 0) as zeros, round(100e0 * (count(*) - count(x)) / count(*), 6) as null_percent, "
-        f"round(100e0 * count(*) filter (where x < 0 or x > 1) / count(*), 6) as outside_percent from ({long}) group by all"
+        f"round(100e0 * count(*) filter (where x < 0 or x > 1) / count(*), 6) as outside_percent, round(100e0 * count(*) filter (where isinf(x)) / count(*), 6) as inf_percent, round(100e0 * count(*) filter (where abs(x) < 1e-6) / count(*), 6) as near_zero_percent from ({long}) group by all"
     )
 
 
@@ -154,7 +155,14 @@ _ENC = ("enc", f"select pixel_id, floor({_clip('amplitude', 0.0, 1.0)} * 65535):
 
 _FILES = ("files", "select path, regexp_extract(path, 's2_(EPSG[0-9]+_[0-9]+_[0-9]+)\\.tif$', 1) as tile_id, make_date(substr(path, 7, 4)::int, substr(path, 12, 2)::int, substr(path, 15, 2)::int) as date from v_path")
 
-_KERNEL = kernel(1.0)
+def _gauss(sigma: float) -> list[float]:
+    """Normalised weights exp(-k^2 / 2 sigma^2) out to four deviations, by distance."""
+    reach = range(-round(4 * sigma), round(4 * sigma) + 1)
+    total = math.fsum(math.exp(-(k * k) / (2 * sigma * sigma)) for k in reach)
+    return [math.exp(-(k * k) / (2 * sigma * sigma)) / total for k in reach if k >= 0]
+
+
+_KERNEL = _gauss(1.0)
 _HW = "(select max(r) + 1 as h, max(c) + 1 as w from v_grid)"
 
 
@@ -259,10 +267,10 @@ SQL: dict[str, str] = {
     "metrics_long": _with("v_grid", _PAIRS, ("one", f"select *, {_RATIOS} from (select {_COUNTS} from pairs)"), body=" union all ".join(f"select '{c}' as metric, round({c}::double, 6) as value from one" for c in ("forest_pixels", "labelled", "agreeing", "agreement", "coverage"))),
     "class_dictionary": "select (row_number() over (order by name) - 1)::int as id, name from (select unnest(['deciduous', 'evergreen', 'nodata']) as name) where name <> 'nodata'",
     "unmapped_values_anti": _with("v_grid", body="select distinct cls2 as value from v_grid where cls2 not in (1, 2)"),
-    "band_stats_by_date": _with("v_obs", _REFL, ("y", "select *, year(obs_date)::int as year from refl"), body=_describe("year", ["b2", "b4", "b8", "b11", "b12"], "y")),
+    "band_stats_by_date": _with("v_obs", _REFL, _IDX, body=_describe("obs_date", ["b2", "b4", "b8", "b11", "b12", "ndvi", "evi", "nbr", "crswir"], "idx")),
     "band_identification": _with(
-        "v_obs", _REFL, ("s", _describe("", ["b2", "b4", "b8", "b11", "b12"], "refl")),
-        body="select name, high, mean, case when mean > 0.25 then 'near infrared' when mean > 0.15 then 'short-wave infrared' when high > 0.1 then 'red' else 'visible' end as role from s",
+        "v_obs", _REFL, ("s", " union all ".join(f"select '{b}' as name, max({b}) as high, avg({b}) as mean from refl where {b} <> 0" for b in ("b2", "b4", "b8", "b11", "b12"))),
+        body="select name, round(high, 6) as high, round(mean, 6) as mean, case when high > 0.8 then case when mean < 0.1 then 'blue or green' when mean < 0.15 then 'red' else 'near infrared' end when high < 0.5 then 'short-wave infrared' else 'uncertain' end as role from s where high is not null",
     ),
     "index_histogram": _with("v_obs", _REFL, _IDX, body=f"select {_bin('x', 0.0, 1.0)} as bin, count(*) as n from (select round(ndvi, 9) as x from idx) where x between 0 and 1 group by 1"),
     "phase_amplitude_hist2d": _with("v_obs", *_H1, body=f"select {_bin('phase', -3.15, 3.15)} as x_bin, {_bin('amplitude', 0.0, 0.5)} as y_bin, count(*) as n from par where phase between -3.15 and 3.15 and amplitude between 0 and 0.5 group by 1, 2"),
@@ -346,11 +354,14 @@ SQL["crs_transform"] = _with("v_box", *_lambert_steps(), body="select seq, round
 SQL["stream_fold"] = SQL["harmonic_wls_h2"]
 
 _TILES = ("tiles", "select tile_id, split_part(tile_id, '_', 2)::double as \"left\", split_part(tile_id, '_', 3)::double as bottom from (select distinct tile_id from files)")
-_CORNERS = "select tile_id, \"left\" as x, bottom as y, 0 as corner from tiles union all select tile_id, \"left\" + 50000, bottom + 50000, 1 from tiles"
+_EDGES = (
+    "select tile_id, \"left\" + 50000 * f / 22e0 as x, bottom + 50000 * s as y from tiles, unnest(range(0, 23)) a(f), unnest([0, 1]) b(s) "
+    "union all select tile_id, \"left\" + 50000 * s, bottom + 50000 * f / 22e0 from tiles, unnest(range(0, 23)) a(f), unnest([0, 1]) b(s)"
+)
 SQL["tile_metadata"] = _with(
-    "v_path", _FILES, _TILES, *_lambert_steps(_CORNERS),
-    body="select t.tile_id, 'EPSG:2154' as crs, \"left\", bottom, \"left\" + 50000 as \"right\", bottom + 50000 as top, 10e0 as res, 5000 as width, 5000 as height, round(p.lon, 6) as west, round(degrees(p.phi), 6) as south, round(q.lon, 6) as east, round(degrees(q.phi), 6) as north "
-    "from tiles t join lat8 p on p.tile_id = t.tile_id and p.corner = 0 join lat8 q on q.tile_id = t.tile_id and q.corner = 1",
+    "v_path", _FILES, _TILES, *_lambert_steps(_EDGES), ("ends", "select tile_id, min(lon) as west, min(degrees(phi)) as south, max(lon) as east, max(degrees(phi)) as north from lat8 group by tile_id"),
+    body="select tile_id, 'EPSG:2154' as crs, \"left\", bottom, \"left\" + 50000 as \"right\", bottom + 50000 as top, 10e0 as res, 5000 as width, 5000 as height, round(west, 6) as west, round(south, 6) as south, round(east, 6) as east, round(north, 6) as north "
+    "from tiles join ends using (tile_id)",
 )
 SQL["tile_containment"] = _with("v_path", _FILES, _TILES, body='select tile_id, "left" >= 200000 and "left" + 50000 <= 1000000 and bottom >= 6000000 and bottom + 50000 <= 6150000 as inside from tiles')
 SQL["first_reference_file"] = _with("v_path", _FILES, body="select tile_id, min(path) as path from files group by tile_id")
@@ -388,3 +399,7 @@ def _encoded() -> list[tuple[str, str]]:
 
 SQL["encoded_features"] = _with("v_obs", *_encoded(), body="select * from encoded")
 SQL["classify_encoded"] = _with("v_obs", *_encoded(), body="select pixel_id, case when probability > 0.5 then 2 else 1 end as pred, floor(probability * 255)::int as proba from scored")
+
+from . import more_oracles  # noqa: E402  it builds on the steps above
+
+SQL |= more_oracles.SQL

@@ -10,10 +10,11 @@ from .. import fixtures as X
 from ..functions import codec
 from ..functions import harmonics as H
 from ..functions import spectral as S
+from ..operators.lineage import cut
 from ..operators import catalog, compare, grid, harmonic, model, neighbourhood, state, stats, vector
 from ..sources import configs, rasters
 from ..streaming import fold
-from . import comparison, inference
+from . import comparison, inference, more
 
 BANDS = list(S.BANDS)
 WIDTH = 50
@@ -99,7 +100,8 @@ def huber_weights(spark, d):
 def convergence_p75(spark, d):
     fitted = harmonic.irls(_indexed(spark, d).select("pixel_id", "t", "ndvi"), ["pixel_id"], "ndvi", 2, 2)
     one = fitted.groupBy("pixel_id").agg(*[F.first(f"change_{i}").alias(f"change_{i}") for i in range(5)])
-    return one.select(F.inline(F.array(*[F.struct(F.col(f"change_{i}").alias("x")) for i in range(5)]))).agg(_r(F.percentile("x", F.lit(0.75))).alias("p75"))
+    moved = cut(one.select(F.inline(F.array(*[F.struct(F.col(f"change_{i}").alias("x")) for i in range(5)]))))
+    return spark.createDataFrame([(stats.percentiles(moved, "x", [0.75])[0],)], "p75 double").select(_r(F.col("p75")).alias("p75"))
 
 
 def _params(spark, d, iterations=1):
@@ -220,13 +222,13 @@ def unmapped_values_anti(spark, d):
 
 
 def band_stats_by_date(spark, d):
-    x = S.to_reflectance(X.observations(spark, d)).withColumn("year", F.year("obs_date"))
-    return stats.describe(x, BANDS, ["year"])
+    x = S.with_indices(S.to_reflectance(X.observations(spark, d)))
+    return stats.describe(x, [*BANDS, *S.INDICES], ["obs_date"])
 
 
 def band_identification(spark, d):
     x = S.to_reflectance(X.observations(spark, d))
-    return stats.band_roles(stats.describe(x, BANDS).select("name", "high", "mean"))
+    return stats.band_roles(x, BANDS)
 
 
 def index_histogram(spark, d):
@@ -543,7 +545,7 @@ _LIST = [
     file_screening, geojson_bbox, elevation_default_join, tile_metadata, tile_containment, first_reference_file, screening_counts, series_guards, joint_range, canopy_mask,
     nearest_data_window, dem_build, encoded_features, classify_encoded, rf_score_ml, stream_fold, period_counts,
 ]
-QUERIES = {f.__name__: f for f in _LIST} | {"harmonic_wls_h1": _wls(1), "harmonic_wls_h2": _wls(2)}
+QUERIES = {f.__name__: f for f in _LIST} | {"harmonic_wls_h1": _wls(1), "harmonic_wls_h2": _wls(2)} | more.QUERIES
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

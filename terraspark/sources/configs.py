@@ -65,12 +65,56 @@ def settings_from_yaml(path: str) -> dict[str, int]:
     return out
 
 
+#: Rows of a table in the JSON report, at most: more is no report of classes and regions.
+REPORT_ROWS = 100_000
+
+
+def _few(df: DataFrame) -> list[dict]:
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows: write it as a table")
+    return [r.asDict() for r in rows]
+
+
+def save_run(configs: DataFrame, path: str, settings: Mapping[str, int] | None = None) -> None:
+    """A run's folder: tile configurations (one JSON row a tile), metadata and an empty state, all re-read by ``load_run``.
+
+    All settings are stored with the metadata, so that a resumed run uses them again.
+    """
+    spark = configs.sparkSession
+    configs.write.mode("overwrite").text(f"{path}/configs")
+    meta = {"num_tiles": configs.count(), "settings": DEFAULTS | dict(settings or {})}
+    spark.createDataFrame([(json.dumps(clean_json(meta)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    spark.createDataFrame([], "tile_idx long, completed int, last_update timestamp").write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Configurations, metadata and state of ``save_run``; ValueError if a tile's configuration is missing."""
+    configs = spark.read.schema(TILE_CONFIG).json(f"{path}/configs")
+    meta = spark.read.schema("num_tiles long, settings map<string,int>").json(f"{path}/metadata")
+    if (n := configs.count()) != (expected := meta.first().num_tiles):
+        raise ValueError(f"{path}: {n} configurations of {expected}")
+    return configs, meta, spark.read.parquet(f"{path}/state")
+
+
+def write_infos(tiles: DataFrame, path: str) -> None:
+    """Tile metadata as JSON, one object a tile."""
+    tiles.write.mode("overwrite").json(path)
+
+
+def read_infos(spark: SparkSession, path: str, schema: str, order: str = "tile_id", start: int = 0, end: int | None = None) -> DataFrame:
+    """Tiles ``start`` up to ``end`` of ``write_infos`` in order."""
+    from ..operators.catalog import sliced
+
+    return sliced(spark.read.schema(schema).json(path), [order], start, end)
+
+
 def write_metrics(total: DataFrame, matrix: DataFrame, regions: DataFrame, path: str) -> None:
     """Three small CSV tables and one JSON document of an evaluation."""
     total.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/global")
     matrix.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/confusion")
     regions.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/regions")
-    whole = {"confusion": [r.asDict() for r in matrix.limit(10_000).collect()], "regions": [r.asDict() for r in regions.limit(10_000).collect()]}
+    whole = {"confusion": _few(matrix), "regions": _few(regions)}
     total.sparkSession.createDataFrame([(json.dumps(clean_json(whole)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
 
 

@@ -61,6 +61,22 @@ def synthetic_series(spark: SparkSession, pixels: int = 100, dates: int = 36, st
     return x.select("pixel_id", F.date_add(F.lit(start).cast("date"), (F.col("i") * step_days).cast("int")).alias("obs_date"), F.when(u(3) >= missing, y).alias("y"))
 
 
+def sine_series(spark: SparkSession, pixels: int, dates: int, waves: Sequence[tuple[float, float, float]] = ((0.3, 0.2, 0.5), (0.15, 0.1, 1.0)), base: float = 0.5) -> DataFrame:
+    """(pixel_id, i, y): a base and waves (amplitude, phase, frequency) over one turn, without noise or gaps."""
+    x = spark.range(pixels).select(F.col("id").alias("pixel_id"), F.explode(F.sequence(F.lit(0), F.lit(dates - 1))).alias("i"))
+    turn = F.col("i") * (2 * math.pi / max(dates - 1, 1))
+    return x.withColumn("y", sum((a * F.sin(f * turn + p) for a, p, f in waves), F.lit(base)))
+
+
+def central_windows(df: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """The central square of each raster named by ``by`` (year, period, tile), cells counted from its corner; one pass over all rasters."""
+    shapes = df.groupBy(*by).agg((F.max("r") + 1).alias("rows_"), (F.max("c") + 1).alias("columns_"))
+    x = df.join(F.broadcast(shapes) if shapes.limit(100_001).count() <= 100_000 else shapes, list(by))
+    r0, c0 = (F.greatest(F.floor((F.col(n) - size) / 2), F.lit(0)).cast("int") for n in ("rows_", "columns_"))
+    x = x.withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0})
+    return x.where((F.col("r") >= 0) & (F.col("r") < size) & (F.col("c") >= 0) & (F.col("c") < size)).drop("rows_", "columns_")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
     """``path, length, modified`` of all files below a directory; contents are not read."""
     x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -74,9 +90,7 @@ def tile_metadata(tiles: DataFrame, size: float = 50_000.0, cells: int = 5000, t
     part = lambda i: F.try_to_number(F.nullif(F.regexp_extract(tile, r"^EPSG(\d+)_(\d+)_(\d+)$", i), F.lit("")), F.lit("9999999999")).cast("double")
     x = tiles.select(tile, F.concat(F.lit("EPSG:"), part(1).cast("int")).alias("crs"), part(2).alias("left"), part(3).alias("bottom"))
     x = x.withColumns({"right": F.col("left") + size, "top": F.col("bottom") + size, "res": F.lit(size / cells), "width": F.lit(cells), "height": F.lit(cells)})
-    west, south = grid.lambert93_to_geographic(F.col("left"), F.col("bottom"))
-    east, north = grid.lambert93_to_geographic(F.col("right"), F.col("top"))
-    return x.withColumns({"west": west, "south": south, "east": east, "north": north})
+    return grid.with_geographic_bounds(x)
 
 
 def quarantine(screened: DataFrame, path: str, status: str = "status") -> DataFrame:

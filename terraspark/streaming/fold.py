@@ -6,11 +6,14 @@ the first date must be fixed beforehand.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import harmonics as H
 from ..functions import spectral as S
+from ..operators.lineage import shared_dir
 
 
 def folded_sums(obs: DataFrame, t0, y: str = "ndvi", harmonics: int = 2) -> DataFrame:
@@ -27,10 +30,17 @@ def fit(sums: DataFrame, y: str = "ndvi", harmonics: int = 2) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream of complete aggregates over what is there now, and returns the result."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    """Runs a stream of complete aggregates over what is there now; state and result lie in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, number: int) -> None:
+        # Complete mode: each batch is the whole result, and a repeated batch overwrites itself.
+        batch.write.mode("overwrite").parquet(f"{path}/result/{number}")
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    last = query.lastProgress
+    return spark.read.schema(stream.schema).parquet(f"{path}/result/{last['batchId'] if last else 0}")
 
 
 def by_period(obs: DataFrame, time: str = "obs_time", late: str = "30 days", length: str = "60 days") -> DataFrame:

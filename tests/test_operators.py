@@ -201,7 +201,9 @@ def test_listing_and_metadata(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.length) for r in files.collect()] == [("s2_EPSG2154_700000_6600000.tif", 2)]
     tiles = files.select(catalog.tile_id(F.col("path")).alias("tile_id")).union(spark.createDataFrame([("odd",)], "tile_id string"))
     good, odd = sorted(rasters.tile_metadata(tiles).collect(), key=lambda r: r.left is None)
-    assert abs(good.west - 3.0) < 1e-9 and abs(good.south - 46.5) < 1e-9 and good.top == 6650000.0 and odd.left is None
+    assert abs(good.west - 3.0) < 1e-9 and good.top == 6650000.0 and odd.left is None
+    # The lower edge bends: its lowest point is not the corner on the central meridian, which is at 46.5.
+    assert 46.498 < good.south < 46.4985
 
 
 def test_node_table_round_trip(spark, tmp_path):
