@@ -335,9 +335,30 @@ def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> Data
     return T.written(out, "confirmed")
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_set_key(documents: DataFrame, text: str = "text", name: str = "set_key") -> DataFrame:
+    """All columns of ``documents`` with the name of the text's shingle set (null: no shingles)."""
+    documents = documents.drop(name)
+    names = documents.columns
+
+    def fn(batches):
+        for batch in batches:
+            raw, offsets = K.texts_of(batch.column(names.index(text)))
+            keys = []
+            for a, b in K.chunked(offsets):
+                o = offsets[a : b + 1]
+                hashes, begin = K.shingle_sets(raw[o[0] : o[-1]], o - o[0], WORDS)
+                keys += [_set_key(hashes[x:y].tobytes()) if y > x else None for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, name])
+
+    return documents.mapInArrow(fn, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema] + [f"`{name}` binary"]))
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", with_groups: bool = False) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for each row of ``documents``.
 
+    ``with_groups`` adds ``set_key``, the name of the row's shingle set, and ``group``, a
+    number of its component: two components may have one name if a key is repeated.
+
     Words end at ASCII white space and A-Z count as a-z.  A text of fewer than five
     words is one shingle; a null or empty text, or one of white space only, has none
     and is linked with nothing.  Each row is a document: rows of equal texts, repeated
@@ -357,9 +378,32 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     # Components of more than one class are named by the smallest key of all their rows.
     linked = T.written(linked.union(linked.select("component", "component").distinct()).join(classes.select("id", "doc"), "id"), "linked")
     ends = linked.groupBy("component").agg(F.min("doc").alias("end"), F.count("*").alias("n"))
-    ended = T.joined(linked, ends, "component", "n").select("id", "end")
-    named = T.written(classes.select("id", "set_key", "doc", "n_rows").join(ended, "id", "left").select("set_key", "n_rows", F.coalesce("end", "doc").alias("component")), "named")
+    ended = T.joined(linked, ends, "component", "n").select("id", "end", "component")
+    named = classes.select("id", "set_key", "doc", "n_rows").join(ended, "id", "left")
+    named = T.written(named.select("set_key", "n_rows", F.coalesce("end", "doc").alias("end"), F.coalesce("component", "id").alias("group")), "named")
     rows = signed.select("id", "n_shingles", "set_key")
-    with_set = T.joined(rows.where(F.col("set_key").isNotNull()), named, "set_key", "n_rows").select("id", "n_shingles", "component")
-    out = with_set.union(rows.where(F.col("set_key").isNull()).select("id", "n_shingles", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    with_set = T.joined(rows.where(F.col("set_key").isNotNull()), named, "set_key", "n_rows")
+    out = with_set.unionByName(rows.where(F.col("set_key").isNull()).withColumns({"end": F.col("id"), "group": F.lit(None).cast("long")}))
+    more = ["set_key", "group"] if with_groups else []
+    return out.select(F.col("id").alias(key), "n_shingles", F.col("end").alias("component_id"), (F.col("id") == F.col("end")).alias("kept"), *more)
+
+
+def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each near-duplicate component: one with the smallest key, whole, all columns.
+
+    Rows without words stay, each for itself, and so do rows with a null key, which are
+    not compared.  If the smallest key has several rows in a component (repeated rows,
+    or several texts under one key), one of them stays, that with the smallest set name.
+    """
+    groups = T.written(near_duplicates(documents, key, text, with_groups=True).where(F.col("group").isNotNull()), "groups")
+    per_key = T.written(groups.groupBy(key).agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")), "per-key")
+    empty = F.length(F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\u000b\f\r", "     "))) == 0
+    # Keys none of whose rows is kept go at once; rows without words are no member of any group.
+    gone = per_key.where("n_kept = 0").select(key)
+    odd = per_key.where("n > 1 and n_kept > 0").select(key)
+    if odd.isEmpty():
+        return documents.join(gone, key, "left_anti") if gone.join(documents.where(empty).select(key), key, "left_semi").isEmpty() else documents.where(~empty).join(gone, key, "left_anti").unionByName(documents.where(empty))
+    plain = documents.where(~empty).join(gone.union(odd), key, "left_anti").unionByName(documents.where(empty))
+    stay = groups.where("kept").groupBy("group", key).agg(F.min("set_key").alias("set_key")).select(key, "set_key")
+    several = with_set_key(documents.where(~empty).join(odd, key, "left_semi"), text).join(stay, [key, "set_key"], "left_semi")
+    return plain.unionByName(several.dropDuplicates([key, "set_key"]).drop("set_key"))
