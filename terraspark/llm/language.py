@@ -24,6 +24,8 @@ TRAIN_LIMIT = 6000
 LONGEST = 4
 #: Words and n-grams seen less often than this are not known.
 LEAST = 2
+#: Words, and n-grams of each length, that are known, at most (the most frequent): bounds the model that goes to the executors.
+KNOWN_MOST = 1 << 17
 UNDECIDED = "und"
 CHUNK_CHARS = 1 << 19
 
@@ -186,8 +188,11 @@ class _Counts:
         """Add-one-half log frequencies of the hashes seen at least ``LEAST`` times."""
         values, counts = self.total()
         total = counts.sum(axis=0, dtype=np.float64) + 0.5 * max(len(values), 1)
-        keep = counts.sum(axis=1) >= LEAST
-        return Table(values[keep], np.log((counts[keep] + 0.5) / total))
+        seen = counts.sum(axis=1)
+        keep = np.flatnonzero(seen >= LEAST)
+        if len(keep) > KNOWN_MOST:
+            keep = np.sort(keep[np.lexsort((values[keep], -seen[keep]))[:KNOWN_MOST]])
+        return Table(values[keep], np.log((counts[keep] + 0.5) / total).astype(np.float32))
 
 
 def fit(texts: list[str | None], langs: list[str]) -> Model:

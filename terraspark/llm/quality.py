@@ -4,8 +4,8 @@ Each token has two names: its word (letters in lower case) and its form (case,
 digits, trailing signs, whether it repeats the token before).  A name's index
 vector is sparse and ternary and follows from its hash alone.  A word's vector is
 the sum of the index vectors of the words around it in the training texts, beside
-that of their forms; words are told apart by 64-bit hashes, and one that never
-occurred there falls back on its form's vector.  Both halves of a vector have norm 1
+that of their forms; words are told apart by 64-bit hashes, and one that is not among the
+``KNOWN_MOST`` most frequent there falls back on its form's vector.  Both halves of a vector have norm 1
 and are kept in steps of 1/127.  A text is the mean of its tokens'
 vectors, beside the mean of its forms' index vectors.  The network has one hidden layer, and its logit is divided by a
 temperature fitted on rows kept out of training, so scores are probabilities.
@@ -25,6 +25,8 @@ from . import samples
 DIM = 48
 FORMS = 1024
 NEIGHBOURS = (-2, -1, 1, 2)
+#: Words with a vector of their own, at most, the most frequent ones: bounds the model that goes to the executors (7 MB).
+KNOWN_MOST = 1 << 16
 #: Steps of a vector's component.
 STEPS = 127
 #: Tokens whose neighbours are summed at a time.
@@ -189,7 +191,7 @@ def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: in
     hashes, forms = (np.concatenate([p[i] for p in pieces] or [empty[i]]) for i in range(2))
     first = np.cumsum(np.concatenate([[0], *(p[2] for p in pieces)])).astype(np.int64)
     del pieces
-    known, words = np.unique(hashes, return_inverse=True)
+    known, words, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     del hashes
     words = words.astype(np.int32)
     word_index = np.zeros((len(known), DIM), np.int8)
@@ -197,6 +199,9 @@ def fit(texts: list[str | None], labels: np.ndarray, hidden: int = 24, steps: in
         word_index[a : a + BLOCK] = index_vectors(known[a : a + BLOCK])
     vectors = np.concatenate([_context_vectors(n, words, forms, first, slots, word_index) for n, slots in ((words, len(known)), (forms, FORMS))])
     del word_index, words, forms
+    if len(known) > KNOWN_MOST:
+        kept = np.sort(np.lexsort((known, -counts))[:KNOWN_MOST])
+        vectors, known = np.concatenate([vectors[kept], vectors[len(known) :]]), known[kept]
     rng = np.random.default_rng(seed)
     w1, w2 = rng.normal(0, (3 * DIM) ** -0.5, (3 * DIM, hidden)), rng.normal(0, hidden**-0.5, hidden)
     model = Model(known, vectors, np.zeros(3 * DIM), np.ones(3 * DIM), w1, np.zeros(hidden), w2, 0.0, 1.0)
