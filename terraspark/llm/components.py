@@ -38,4 +38,6 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = now
-        edges = _star(_star(edges, large=True), large=False)
+        with T.temporary(links.sparkSession) as kept:
+            edges = _star(_star(edges, large=True), large=False)
+            kept.append(edges)

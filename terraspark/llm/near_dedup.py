@@ -51,7 +51,7 @@ TREES = 8
 PATHS = 2 * TREES
 VALUES = 256
 PAIRS_MAX = 8
-NODE_MAX = 1024
+NODE_MAX = 2048
 #: Nodes of more classes, or of a thousand times as many shingles, are compared alone.
 ALONE = 128
 #: Shingles of all sets in a node, at most (32 MB).
@@ -311,28 +311,29 @@ BROADCAST_IDS = 1_000_000
 
 def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
     """Confirmed links ``(u, v)`` between the numbers of ``classes`` (id, set_key, doc, n_shingles, paths, sig), written."""
-    search = _Search(classes, documents, key, text)
-    search.run()
-    found = list(search.links)
-    if search.pairs:
-        pairs = search.pairs[0]
-        for more in search.pairs[1:]:
-            pairs = pairs.union(more)
-        pairs = T.written(pairs.distinct(), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = search.whole_sets(wanted)
-        n, shingles = wanted.join(search.full, "id").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-        ranges = max(T.parts_for(n, 12_000, 6), T.parts_for(shingles, NODE_SHINGLES))
-        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ranges))
-        cells = pairs.withColumn("lo", F.least(mine("a"), mine("b"))).withColumn("hi", F.greatest(mine("a"), mine("b")))
-        sent = cells.select(F.col("lo").alias("row"), F.col("hi").alias("column"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-        found.append(cells.groupBy("lo", "hi").cogroup(sent.groupBy("row", "column")).applyInArrow(_confirm, "u long, v long"))
-    if not found:
-        return documents.sparkSession.createDataFrame([], "u long, v long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return T.written(out, "confirmed")
+    with T.temporary(documents.sparkSession) as kept:
+        search = _Search(classes, documents, key, text)
+        search.run()
+        found = list(search.links)
+        if search.pairs:
+            pairs = search.pairs[0]
+            for more in search.pairs[1:]:
+                pairs = pairs.union(more)
+            pairs = T.written(pairs.distinct(), "candidates")
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            sets = search.whole_sets(wanted)
+            n, shingles = wanted.join(search.full, "id").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+            ranges = max(T.parts_for(n, 12_000, 6), T.parts_for(shingles, NODE_SHINGLES))
+            mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ranges))
+            cells = pairs.withColumn("lo", F.least(mine("a"), mine("b"))).withColumn("hi", F.greatest(mine("a"), mine("b")))
+            sent = cells.select(F.col("lo").alias("row"), F.col("hi").alias("column"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+            found.append(cells.groupBy("lo", "hi").cogroup(sent.groupBy("row", "column")).applyInArrow(_confirm, "u long, v long"))
+        out = documents.sparkSession.createDataFrame([], "u long, v long")
+        for more in found:
+            out = out.union(more)
+        out = T.written(out, "confirmed")
+        kept.append(out)
+    return out
 
 
 def with_set_key(documents: DataFrame, text: str = "text", name: str = "set_key") -> DataFrame:
@@ -395,15 +396,18 @@ def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text"
     not compared.  If the smallest key has several rows in a component (repeated rows,
     or several texts under one key), one of them stays, that with the smallest set name.
     """
-    groups = T.written(near_duplicates(documents, key, text, with_groups=True).where(F.col("group").isNotNull()), "groups")
-    per_key = T.written(groups.groupBy(key).agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")), "per-key")
-    empty = F.length(F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\u000b\f\r", "     "))) == 0
-    # Keys none of whose rows is kept go at once; rows without words are no member of any group.
-    gone = per_key.where("n_kept = 0").select(key)
-    odd = per_key.where("n > 1 and n_kept > 0").select(key)
+    spark = documents.sparkSession
+    with T.temporary(spark) as kept:
+        groups = T.written(near_duplicates(documents, key, text, with_groups=True), "groups")
+        # A row without words is no member of any group, and kept.
+        per_key = T.written(groups.groupBy(key).agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")), "per-key")
+        kept += [groups, per_key]
+    # Keys none of whose rows is kept go at once; keys of several rows are looked at row by row.
+    gone, odd = per_key.where("n_kept = 0").select(key), per_key.where("n > 1 and n_kept > 0").select(key)
     if odd.isEmpty():
-        return documents.join(gone, key, "left_anti") if gone.join(documents.where(empty).select(key), key, "left_semi").isEmpty() else documents.where(~empty).join(gone, key, "left_anti").unionByName(documents.where(empty))
-    plain = documents.where(~empty).join(gone.union(odd), key, "left_anti").unionByName(documents.where(empty))
-    stay = groups.where("kept").groupBy("group", key).agg(F.min("set_key").alias("set_key")).select(key, "set_key")
-    several = with_set_key(documents.where(~empty).join(odd, key, "left_semi"), text).join(stay, [key, "set_key"], "left_semi")
-    return plain.unionByName(several.dropDuplicates([key, "set_key"]).drop("set_key"))
+        return documents.join(gone, key, "left_anti")
+    stay = groups.where("kept and group is not null").groupBy("group", key).agg(F.min("set_key").alias("set_key")).select(key, "set_key")
+    several = with_set_key(documents.join(odd, key, "left_semi"), text)
+    one = several.join(stay, [key, "set_key"], "left_semi").dropDuplicates([key, "set_key"])
+    several = one.unionByName(several.where(F.col("set_key").isNull())).drop("set_key")
+    return documents.join(gone.union(odd), key, "left_anti").unionByName(several)

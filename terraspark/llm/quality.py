@@ -32,7 +32,7 @@ STEPS = 127
 #: Tokens whose neighbours are summed at a time.
 BLOCK = 1 << 14
 #: Labelled documents used for fitting, at most (bytes: ``samples.LEARN_BYTES``).
-TRAIN_LIMIT = 6000
+TRAIN_LIMIT = 4000
 THRESHOLD = 0.3
 
 _UPPER = np.zeros(256, np.uint8)

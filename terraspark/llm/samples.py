@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable
 from typing import Any
@@ -15,7 +16,7 @@ from . import tables as T
 #: Bytes of the texts learned from, at most, and of one of them: what is longer is not learned from.
 LEARN_BYTES = 64 << 20
 TEXT_BYTES = 4 << 20
-#: Rows of each label that come before all others, so that a rare label is learned.
+#: Rows of each label (as many are expected, by a hash) that come before all others, so that a rare label is learned.
 LEAST_EACH = 100
 _TURNS = 1 << 20
 
@@ -38,9 +39,10 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, wanted: Column,
     # Of a label with many keys only a share by hash goes on, twice what may be taken.
     counts = T.written(pairs.groupBy("label").agg(F.approx_count_distinct(key).alias("n")), "label-counts")
     share = F.pmod(turn, F.lit(_TURNS)) * F.col("n") < F.lit(_TURNS * (2 * limit + 1000))
-    ids = pairs.join(counts.hint("merge") if counts.count() > 100_000 else F.broadcast(counts), "label").where(share).groupBy(key).agg(F.max("label").alias("label"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(turn, key))
-    ids = ids.withColumn("early", F.least(place, F.lit(LEAST_EACH + 1))).orderBy("early", turn, key).limit(limit)
+    ids = pairs.join(counts.hint("merge") if counts.count() > 100_000 else F.broadcast(counts), "label").where(share)
+    early = F.pmod(turn, F.lit(_TURNS)) * F.col("n") >= F.lit(_TURNS * LEAST_EACH)
+    ids = ids.groupBy(key).agg(F.max("label").alias("label"), F.min(early.cast("int")).alias("early"))
+    ids = ids.orderBy("early", turn, key).limit(limit)
     # At most ``limit`` rows of a few bytes, so the broadcast is bounded; one row a key, however often it is repeated.
     rows = documents.where(F.coalesce(F.octet_length(text), F.lit(0)) <= TEXT_BYTES).select(key, text).join(F.broadcast(ids), key)
     rows = rows.groupBy(key).agg(F.max(text).alias(text), F.max("label").alias("label"), F.min("early").alias("early"))
@@ -56,7 +58,12 @@ def fitted(rows: DataFrame, fit: Callable[[list, list], Any]) -> Any:
         for b in batches:
             texts += b.column(1).to_pylist()
             labels += b.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], names=["model"])
+        model = pickle.dumps(fit(texts, labels))
+        texts.clear(), labels.clear()
+        # The worker lives on: what the fit has freed goes back to the machine.
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = rows.coalesce(1).mapInArrow(fn, "model binary").first()
     # An empty table may have no partition, and so no task.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes the tables written inside it but those whose frames (as ``written`` gave them) are put on the list it gives.
+
+    Also lets Spark drop the shuffle files of frames that are no longer in use, which it
+    does only when the driver collects its garbage.
+    """
+    mark, kept = len(_paths), []
+    yield kept
+    stay = {df.written_to for df in kept}
+    for path in [p for p in _paths[mark:] if p not in stay]:
+        _delete(spark, path)
+        _paths.remove(path)
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def clean(spark: SparkSession) -> int:
     """Deletes all tables this process has written so far; for when no result that reads them is needed any more."""
     n = len(_paths)
     while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _paths.pop())
     return n
 
 
