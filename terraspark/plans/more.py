@@ -49,7 +49,9 @@ def _files(spark, d):
 
 
 def features_irls(spark, d):
-    return _rounded(inference.feature_table(X.observations(spark, d), _dem(spark, d), max_iter=3), 5)
+    x = _rounded(inference.feature_table(X.observations(spark, d), _dem(spark, d), max_iter=3), 5)
+    # A rounded zero has no sign.
+    return x.select(*[(F.col(c) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes])
 
 
 def probability_map_irls(spark, d):

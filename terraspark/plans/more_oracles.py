@@ -144,7 +144,7 @@ def _smooth(sigma: float) -> list[tuple[str, str]]:
 _AGREEMENT = O._regions("pairs")
 
 SQL: dict[str, str] = {
-    "features_irls": _with("v_obs v_grid", *_IRLS_WIDE, body=f"select pixel_id, n_obs, {', '.join(f'round({c}, 5) as {c}' for c in O._WIDE_COLUMNS)} from wide"),
+    "features_irls": _with("v_obs v_grid", *_IRLS_WIDE, body=f"select pixel_id, n_obs, {', '.join(f'round({c}, 5) + 0e0 as {c}' for c in O._WIDE_COLUMNS)} from wide"),
     "probability_map_irls": _with("v_obs v_grid", *_IRLS_WIDE, O._SCORED, body=f"select pixel_id, n_obs, {_PROB} from scored"),
     "robust_by_key": _with("v_obs", _REFL, _IDX, *_robust(["ndvi"], 3, weight="1e0"), body=f"select f.pixel_id, {O._params(2, 'y')}, round(v, 6) as residual_variance from ndvi_fit f join (select pixel_id, var_pop(residual) as v from ndvi_res group by 1) using (pixel_id)"),
     "irls_until": _until(),
