@@ -21,6 +21,10 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
 * A larger node gets the whole sets.  Its rows join groups one by one, confirmed on
   the sets, likeliest first, and rows already in one group are not compared again:
   whatever the number of similar pairs, a node gives fewer links than it has rows.
+* Larger nodes of the first two trees, if not to be branched, are compared before all
+  others; a node whose classes are all joined by them can't join more, and its sets are
+  not sent.
+  Candidate pairs that are joined already are not confirmed either.
   Nodes of more than ``ALONE`` classes are a group of their own; smaller ones are
   pooled by hash, by their classes and shingles.
 * Components come from alternating star steps over the confirmed links.
@@ -57,6 +61,8 @@ ALONE = 128
 #: Shingles of all sets in a node, at most (32 MB).
 NODE_SHINGLES = 1 << 22
 DEPTH_MAX = 8
+#: Paths whose larger nodes are compared first (two trees).
+FIRST_PATHS = 4
 ESTIMATE_MIN = 0.64
 
 _U32 = np.uint32
@@ -143,7 +149,7 @@ def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _linked_in_nodes(table: pa.Table) -> pa.Table:
     """Confirmed links that join what is linked in each node of one group of nodes."""
-    ids, sizes, side = (table[c].to_numpy() for c in ("id", "n_shingles", "side"))
+    ids, sizes, side, component = (table[c].to_numpy() for c in ("id", "n_shingles", "side", "component"))
     sigs = _unpacked(table["sig"])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
     order, cut, counts = _nodes(table)
@@ -152,10 +158,11 @@ def _linked_in_nodes(table: pa.Table) -> pa.Table:
         # Small sets first: a row's partners lie in a range of sizes.
         rows = order[begin : begin + n]
         rows = rows[np.argsort(sizes[rows], kind="stable")]
-        group = np.arange(n)
+        group = component[rows]
         low = np.searchsorted(4 * sizes[rows], 3 * sizes[rows], side="left")
         for k in range(1, n):
             others = np.arange(low[k], k)
+            others = others[group[others] != group[k]]
             if (s := side[rows[k]]) != 0:
                 # In a node of two blocks, only pairs across them.
                 others = others[side[rows[others]] != s]
@@ -212,6 +219,7 @@ class _Search:
         self.classes, self.documents, self.key, self.text = classes, documents, key, text
         self.pairs: list[DataFrame] = []
         self.links: list[DataFrame] = []
+        self.joined: DataFrame | None = None
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
         """``(id, shingles)`` of the classes named in ``ids``."""
@@ -227,21 +235,49 @@ class _Search:
     def compare(self, nodes: DataFrame, level: str) -> None:
         """Compares the nodes (path, node, id, side, n, shingles) that are not large."""
         for name, part in (("pairs", nodes.where(F.col("n") <= PAIRS_MAX)), ("links", nodes.where(F.col("n") > PAIRS_MAX))):
-            count, shingles = part.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") / F.col("n")), F.lit(0.0))).first()
-            if not count:
-                continue
             if name == "pairs":
+                if not (count := part.count()):
+                    continue
                 rows = part.join(self.full, "id").withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(T.parts_for(count, 20_000))))
                 found = rows.select("group", "path", "node", "id", "n_shingles", "sig").groupBy("group").applyInArrow(_in_nodes, _PAIRS)
                 self.pairs.append(T.written(found, f"pairs-{level}"))
             else:
-                pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(int(shingles), 4000 * ALONE))
-                alone = (F.col("n") > ALONE) | (F.col("shingles") > 1000 * ALONE)
-                # Pools have numbers from 0 up, nodes alone negative ones.
-                group = F.when(alone, -1 - F.shiftrightunsigned(F.xxhash64("path", "node"), 1)).otherwise(F.pmod(F.xxhash64("path", "node"), F.lit(pools)))
-                sets = T.written(self.whole_sets(part), f"sets-{level}")
-                rows = part.withColumn("group", group).join(self.full, "id").select("group", "path", "node", "id", "n_shingles", "sig", "side").join(sets, "id")
-                self.links.append(T.written(rows.groupBy("group").applyInArrow(_linked_in_nodes, "u long, v long"), f"links-{level}"))
+                # What the first trees join at the first level need not be compared again.
+                if level == "1":
+                    self.join_up(part.where(F.col("path") < FIRST_PATHS), "first")
+                    part = part.where(F.col("path") >= FIRST_PATHS)
+                self.join_up(part, level)
+
+    def with_component(self, rows: DataFrame, key: str = "id", name: str = "component") -> DataFrame:
+        """``rows`` with the component that the links of the first trees give to the class in ``key``."""
+        if self.joined is None:
+            return rows.withColumn(name, F.col(key))
+        known = self.joined.select(F.col("id").alias(key), F.col("component").alias(name))
+        return rows.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+
+    def join_up(self, part: DataFrame, level: str) -> None:
+        """Confirms links in nodes of more than ``PAIRS_MAX`` classes that are not all joined yet."""
+        with T.temporary(self.documents.sparkSession) as kept:
+            part = self.with_component(part)
+            if self.joined is not None:
+                apart = part.groupBy("path", "node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+                part = T.written(part.join(apart.select("path", "node"), ["path", "node"], "left_semi"), f"apart-{level}")
+            count, shingles = part.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") / F.col("n")), F.lit(0.0))).first()
+            if not count:
+                return
+            pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(int(shingles), 4000 * ALONE))
+            alone = (F.col("n") > ALONE) | (F.col("shingles") > 1000 * ALONE)
+            # Pools have numbers from 0 up, nodes alone negative ones.
+            group = F.when(alone, -1 - F.shiftrightunsigned(F.xxhash64("path", "node"), 1)).otherwise(F.pmod(F.xxhash64("path", "node"), F.lit(pools)))
+            sets = T.written(self.whole_sets(part), f"sets-{level}")
+            rows = part.withColumn("group", group).join(self.full, "id").select("group", "path", "node", "id", "n_shingles", "sig", "side", "component").join(sets, "id")
+            found = T.written(rows.groupBy("group").applyInArrow(_linked_in_nodes, "u long, v long"), f"links-{level}")
+            if level == "first":
+                self.joined = T.written(components.smallest_reachable(found), "joined")
+                kept.append(self.joined)
+            else:
+                self.links.append(found)
+                kept.append(found)
 
     def run(self) -> None:
         large = (F.col("n") > NODE_MAX) | (F.col("n") > PAIRS_MAX) & (F.col("shingles") > NODE_SHINGLES)
@@ -270,9 +306,9 @@ class _Search:
             )
             child = rest.withColumn("pick", F.explode(F.array_compact(picks))).join(self.full.select("id", "sig", "n_shingles"), "id")
             child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(hex(substring(sig, int(pick div 2) + 1, 1)), int(pick % 2) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
-            counts = child.groupBy("node").agg(*counted).where("n > 1").withColumn("large", large)
-            child = T.written(child.drop("n_shingles").join(counts, "node"), f"children-{depth}")
-            self.compare(child.where(~F.col("large")).select(F.lit(-1).alias("path"), "node", "id", F.lit(0).alias("side"), "n", "shingles"), str(depth))
+            counts = child.groupBy("path", "node").agg(*counted).where("n > 1").withColumn("large", large)
+            child = T.written(child.drop("n_shingles").join(counts, ["path", "node"]), f"children-{depth}")
+            self.compare(child.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n", "shingles"), str(depth))
             rest = child.where("large").select("id", "path", "node", "n", "shingles")
         # The exact way for what no branching made small: blocks of each node against blocks.
         blocks = F.greatest(F.ceil(F.col("n") / (NODE_MAX / 2)), F.ceil(F.col("shingles") / (NODE_SHINGLES / 2)), F.lit(1))
@@ -280,7 +316,7 @@ class _Search:
         dealt = dealt.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
         # Side 0: a block with itself; else pairs across the two blocks only.
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
-        self.compare(dealt.select(F.lit(-1).alias("path"), "node", "id", side.alias("side"), F.lit(NODE_MAX).alias("n"), F.lit(NODE_SHINGLES).cast("long").alias("shingles")), "rest")
+        self.compare(dealt.select("path", "node", "id", side.alias("side"), F.lit(NODE_MAX).alias("n"), F.lit(NODE_SHINGLES).cast("long").alias("shingles")), "rest")
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -310,16 +346,17 @@ BROADCAST_IDS = 1_000_000
 
 
 def links(classes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Confirmed links ``(u, v)`` between the numbers of ``classes`` (id, set_key, doc, n_shingles, paths, sig), written."""
+    """Confirmed links ``(u, v)`` that join all that is linked, between the numbers of ``classes`` (id, set_key, doc, n_shingles, paths, sig), written."""
     with T.temporary(documents.sparkSession) as kept:
         search = _Search(classes, documents, key, text)
         search.run()
-        found = list(search.links)
+        found = search.links + ([search.joined.toDF("u", "v")] if search.joined is not None else [])
         if search.pairs:
             pairs = search.pairs[0]
             for more in search.pairs[1:]:
                 pairs = pairs.union(more)
-            pairs = T.written(pairs.distinct(), "candidates")
+            pairs = search.with_component(search.with_component(pairs.distinct(), "a", "of_a"), "b", "of_b")
+            pairs = T.written(pairs.where("of_a <> of_b").select("a", "b"), "candidates")
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             sets = search.whole_sets(wanted)
             n, shingles = wanted.join(search.full, "id").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
