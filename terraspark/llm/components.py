@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from . import tables as T
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges ``(u, v)`` with u > v after one step; ``edges`` is a written table."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Edges ``(u, v)`` with u > v after one step; ``edges`` is a written table of at most ``n`` rows, and so is what comes out."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        out = T.joined(both, low, "u", "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = T.joined(both, low, "u", "n", 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        out = T.joined(edges, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        out = T.joined(edges, low, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return T.written(out.where(F.col("u") != F.col("v")).distinct(), "stars")
 
 
@@ -39,5 +39,5 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = now
         with T.temporary(links.sparkSession) as kept:
-            edges = _star(_star(edges, large=True), large=False)
+            edges = _star(_star(edges, True, now[0]), False, now[0])
             kept.append(edges)

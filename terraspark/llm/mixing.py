@@ -50,7 +50,8 @@ def _with_source(rows: DataFrame, by_source: DataFrame, n_sources: int) -> DataF
     rows, by_source = key(rows), key(by_source).drop("source")
     if n_sources <= SOURCES_MOST:
         return rows.join(F.broadcast(by_source.drop("n_rows")), "source_").drop("source_")
-    return T.joined(rows, by_source, "source_", "n_rows").drop("source_")
+    total = by_source.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    return T.joined(rows, by_source, "source_", "n_rows", total).drop("source_")
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:

@@ -287,9 +287,9 @@ class _Search:
         members = [F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.sum(F.shiftright(F.xxhash64("id", F.lit(2)), 24)).alias("y")]
         counts = T.written(first.groupBy("path", "node").agg(*counted, *members).where("n > 1").withColumn("large", large), "node-sizes")
         once = counts.where(~F.col("large")).groupBy("n", "shingles", "x", "y").agg(F.min(F.struct("path", "node")).alias("one")).select("one.path", "one.node", "n", "shingles", F.lit(False).alias("large"))
-        counts = once.union(counts.where("large").select("path", "node", "n", "shingles", "large"))
+        counts = T.written(once.union(counts.where("large").select("path", "node", "n", "shingles", "large")).withColumn("n_rows", F.col("n")), "nodes-once")
         # Only classes that share a node with another go on.
-        shared = T.written(first.drop("n_shingles").join(counts, ["path", "node"]), "nodes")
+        shared = T.written(T.joined(first.drop("n_shingles"), counts, ["path", "node"], "n_rows", PATHS * self.classes.count()), "nodes")
         full = self.classes.select("id", "n_shingles", "sig").join(shared.select("id").distinct(), "id", "left_semi")
         self.full = T.written(full, "active")
         self.compare(shared.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n", "shingles"), "1")
@@ -306,8 +306,9 @@ class _Search:
             )
             child = rest.withColumn("pick", F.explode(F.array_compact(picks))).join(self.full.select("id", "sig", "n_shingles"), "id")
             child = child.withColumn("node", F.xxhash64("node", "pick", F.expr("substring(hex(substring(sig, int(pick div 2) + 1, 1)), int(pick % 2) + 1, 1)"))).select("id", "path", "node", "n_shingles").distinct()
-            counts = child.groupBy("path", "node").agg(*counted).where("n > 1").withColumn("large", large)
-            child = T.written(child.drop("n_shingles").join(counts, ["path", "node"]), f"children-{depth}")
+            child = T.written(child, f"parted-{depth}")
+            counts = T.written(child.groupBy("path", "node").agg(*counted).where("n > 1").withColumns({"large": large, "n_rows": F.col("n")}), f"sizes-{depth}")
+            child = T.written(T.joined(child.drop("n_shingles"), counts, ["path", "node"], "n_rows"), f"children-{depth}")
             self.compare(child.where(~F.col("large")).select("path", "node", "id", F.lit(0).alias("side"), "n", "shingles"), str(depth))
             rest = child.where("large").select("id", "path", "node", "n", "shingles")
         # The exact way for what no branching made small: blocks of each node against blocks.

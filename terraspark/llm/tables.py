@@ -71,20 +71,25 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
-#: A key with as many rows is taken out of the shuffle of a join.
-HOT_ROWS = 50_000
+#: A join by broadcast takes at most so many hot keys, at any size of the input.
+HOT_KEYS = 10_000
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 1_000
 
 
-def joined(rows: DataFrame, by_key: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` (a written table) with the columns of ``by_key``, which has one row a key and says in ``count`` how many of ``rows`` have it.
+def joined(rows: DataFrame, by_key: DataFrame, key: str | list[str], count: str, total: int | None = None) -> DataFrame:
+    """``rows`` (cheap to read twice) with the columns of ``by_key``, which has one row a key and says in ``count`` how many of ``rows`` have it.
 
-    Keys of at least ``HOT_ROWS`` rows are joined by broadcast, so that none meets in
-    one task; there is one such key for each ``HOT_ROWS`` rows at most.
+    A key of at least ``HOT_ROWS`` rows that holds one of ``HOT_KEYS`` equal shares of
+    all rows or more is joined by broadcast, so that none meets in one task; there are
+    no more than ``HOT_KEYS`` of them.  ``total``: the number of rows, if known, or more.
     """
-    hot = F.col(count) >= HOT_ROWS
+    keys = [key] if isinstance(key, str) else key
+    total = rows.count() if total is None else total
+    hot = F.col(count) >= max(HOT_ROWS, -(-total // HOT_KEYS))
     few = by_key.where(hot).drop(count)
-    spread_out = rows.join(F.broadcast(few), key)
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(by_key.where(~hot).drop(count), key)
+    spread_out = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(by_key.where(~hot).drop(count), keys)
     return spread_out.unionByName(rest)
 
 
