@@ -18,8 +18,9 @@ Texts are sets of 5-word shingles; two are linked at Jaccard similarity >= 3/4.
   the pairs that look similar by signature are candidates.  They are confirmed on
   whole sets of 64-bit shingle hashes in cells of two hash ranges of classes; a class
   is sent once to each of its cells.
-* A larger node gets the whole sets.  Its rows join groups one by one, confirmed on
-  the sets, likeliest first, and rows already in one group are not compared again:
+* In a larger node, rows that look similar by signature to no other (or only to rows
+  they are joined with) drop out first; the others get their whole sets.  They join
+  groups one by one, confirmed on the sets, likeliest first, and rows already in one group are not compared again:
   whatever the number of similar pairs, a node gives fewer links than it has rows.
 * Larger nodes of the first two trees, if not to be branched, are compared before all
   others; a node whose classes are all joined by them can't join more, and its sets are
@@ -58,6 +59,8 @@ PAIRS_MAX = 8
 NODE_MAX = 2048
 #: Nodes of more classes, or of a thousand times as many shingles, are compared alone.
 ALONE = 128
+#: Rows of a pool of nodes that are compared by signature (128 bytes each), about.
+NEAR_ROWS = 4096
 #: Shingles of all sets in a node, at most (32 MB).
 NODE_SHINGLES = 1 << 22
 DEPTH_MAX = 8
@@ -137,6 +140,7 @@ def _signed(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 _PAIRS = "a long, b long"
+_NEAR = "path int, node long, id long, side int, component long, n_shingles long, sig binary, n long, shingles long"
 
 
 def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +185,36 @@ def _linked_in_nodes(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _near_in_nodes(table: pa.Table) -> pa.Table:
+    """The rows that look similar, by signature, to one of their node in another component, with the size of what stays of each node."""
+    sizes, side, component = (table[c].to_numpy() for c in ("n_shingles", "side", "component"))
+    sigs = _unpacked(table["sig"])
+    order, cut, counts = _nodes(table)
+    stay, n, shingles = [order[:0]], [order[:0]], [order[:0]]
+    for begin, count in zip(cut.tolist(), counts.tolist(), strict=True):
+        rows = order[begin : begin + count]
+        size, group, block, mine = sizes[rows], component[rows], side[rows], sigs[rows]
+        found, later = np.zeros(count, dtype=bool), np.ones(count, dtype=bool)
+        for k in range(count):
+            later[k] = False
+            if found[k]:
+                continue
+            # Earlier rows that found nothing have been held against this one.
+            fit = (later | found) & (group != group[k]) & (4 * np.minimum(size, size[k]) >= 3 * np.maximum(size, size[k]))
+            if block[k] != 0:
+                fit &= block != block[k]
+            others, step = np.flatnonzero(fit), 64
+            while len(others) and not found[k]:
+                some, others, step = others[:step], others[step:], 4 * step
+                near = some[_estimate(np.count_nonzero(mine[some] == mine[k], axis=1) / VALUES) >= ESTIMATE_MIN]
+                found[near], found[k] = True, len(near) > 0
+        stay.append(rows[found])
+        n.append(np.full(found.sum(), found.sum()))
+        shingles.append(np.full(found.sum(), size[found].sum()))
+    out = table.select(["path", "node", "id", "side", "component", "n_shingles", "sig"]).take(pa.array(np.concatenate(stay), pa.int64()))
+    return out.append_column("n", pa.array(np.concatenate(n), pa.int64())).append_column("shingles", pa.array(np.concatenate(shingles), pa.int64()))
+
+
 def _linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which of the other sets have 3/4 of the union in common with ``one``."""
     if not others:
@@ -262,15 +296,20 @@ class _Search:
             if self.joined is not None:
                 apart = part.groupBy("path", "node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
                 part = T.written(part.join(apart.select("path", "node"), ["path", "node"], "left_semi"), f"apart-{level}")
-            count, shingles = part.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") / F.col("n")), F.lit(0.0))).first()
+            # Signatures say which rows can be linked at all; the sets of these alone are sent.
+            pools = T.parts_for(part.count(), NEAR_ROWS)
+            rows = part.withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(pools))).join(self.full, "id")
+            rows = rows.select("group", "path", "node", "id", "side", "component", "n_shingles", "sig")
+            part = T.written(rows.groupBy("group").applyInArrow(_near_in_nodes, _NEAR), f"near-{level}")
+            count, shingles = part.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
             if not count:
                 return
-            pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(int(shingles), 4000 * ALONE))
+            pools = max(T.parts_for(count, 4 * ALONE), T.parts_for(shingles, 4000 * ALONE))
             alone = (F.col("n") > ALONE) | (F.col("shingles") > 1000 * ALONE)
             # Pools have numbers from 0 up, nodes alone negative ones.
             group = F.when(alone, -1 - F.shiftrightunsigned(F.xxhash64("path", "node"), 1)).otherwise(F.pmod(F.xxhash64("path", "node"), F.lit(pools)))
             sets = T.written(self.whole_sets(part), f"sets-{level}")
-            rows = part.withColumn("group", group).join(self.full, "id").select("group", "path", "node", "id", "n_shingles", "sig", "side", "component").join(sets, "id")
+            rows = part.withColumn("group", group).select("group", "path", "node", "id", "n_shingles", "sig", "side", "component").join(sets, "id")
             found = T.written(rows.groupBy("group").applyInArrow(_linked_in_nodes, "u long, v long"), f"links-{level}")
             if level == "first":
                 self.joined = T.written(components.smallest_reachable(found), "joined")
