@@ -381,7 +381,7 @@ def _sets(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, text).mapInArrow(fn, "set_key binary, shingles binary")
 
 
-#: Class ids with a candidate are broadcast up to this many (8 bytes each); beyond, the sets are joined by shuffle.
+#: Class ids with a candidate, and keys of rows that go, are broadcast up to this many (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -481,10 +481,14 @@ def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text"
         kept += [groups, per_key]
     # Keys none of whose rows is kept go at once; keys of several rows are looked at row by row.
     gone, odd = per_key.where("n_kept = 0").select(key), per_key.where("n > 1 and n_kept > 0").select(key)
+    away = gone.union(odd)
+    if away.count() <= BROADCAST_IDS:
+        # Else, as the size of the filtered keys isn't known beforehand, all texts would be shuffled for a few keys.
+        away = F.broadcast(away)
     if odd.isEmpty():
-        return documents.join(gone, key, "left_anti")
+        return documents.join(away, key, "left_anti")
     stay = groups.where("kept and group is not null").groupBy("group", key).agg(F.min("set_key").alias("set_key")).select(key, "set_key")
     several = with_set_key(documents.join(odd, key, "left_semi"), text)
     one = several.join(stay, [key, "set_key"], "left_semi").dropDuplicates([key, "set_key"])
     several = one.unionByName(several.where(F.col("set_key").isNull())).drop("set_key")
-    return documents.join(gone.union(odd), key, "left_anti").unionByName(several)
+    return documents.join(away, key, "left_anti").unionByName(several)
