@@ -51,6 +51,17 @@ def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[flo
     return [values[int(p)] + (p - int(p)) * (values[min(int(p) + 1, n - 1)] - values[int(p)]) for p in at]
 
 
+def _mean(x: Column, digits: int) -> Column:
+    """Mean of a group's doubles, rounded half away from zero, the same for any order of the rows.
+
+    Values are summed as decimals of 18 places, so that a mean halfway between two results
+    is not moved by the sum's rounding.  Where those don't hold the values or their sum, doubles are summed.
+    """
+    held = (F.min(x) > -1e20) & (F.max(x) < 1e20)
+    exact = F.when(held, F.try_sum(x.try_cast("decimal(38,18)")) / F.count(x))
+    return F.coalesce(F.round(exact, digits).cast("double"), F.round(F.avg(x), digits))
+
+
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """One row for each group and column: counts, range, mean, population deviation, median, shares in percent.
 
@@ -66,7 +77,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), digi
         x = F.col(c).cast("double")
         median = F.percentile(x, F.lit(0.5)) if by else F.lit(middle[c]).cast("double")
         return F.struct(
-            F.lit(c).alias("name"), total.alias("n"), F.count(x).alias("n_valid"), F.round(F.min(x), digits).alias("low"), F.round(F.max(x), digits).alias("high"), F.round(F.avg(x), digits).alias("mean"),
+            F.lit(c).alias("name"), total.alias("n"), F.count(x).alias("n_valid"), F.round(F.min(x), digits).alias("low"), F.round(F.max(x), digits).alias("high"), _mean(x, digits).alias("mean"),
             F.round(F.stddev_pop(x), digits).alias("deviation"), F.round(median, digits).alias("median"), F.count_if(x == 0).alias("zeros"), share(x.isNull()).alias("null_percent"),
             share((x < 0) | (x > 1)).alias("outside_percent"), share(F.abs(x) == float("inf")).alias("inf_percent"), share(F.abs(x) < 1e-6).alias("near_zero_percent"),
         )

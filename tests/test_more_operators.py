@@ -30,6 +30,26 @@ def test_describe_counts_infinite_values(spark):
     assert stats.describe(df, ["x"]).first().inf_percent == 25.0
 
 
+def test_means_between_two_results_are_rounded_up_in_any_order(spark):
+    rng = random.Random(3)
+    # Sums of 32 ten-thousandths that leave 312.5 millionths and the like: halfway between two results.
+    groups = {g: [rng.randrange(2000, 6000) for _ in range(31)] for g in range(150)}
+    rows = []
+    for g, whole in groups.items():
+        whole.append(2000 + (8 - 4 * (g % 2) - sum(whole)) % 16)
+        rows += [(g, w / 10000) for w in whole]
+    want = {g: (200 * sum(w) + 32) // 64 / 1e6 for g, w in groups.items()}
+    assert sum(200 * sum(w) % 32 == 0 and 200 * sum(w) // 32 % 2 for w in groups.values()) == 75
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "g int, x double").repartition(seed + 1)
+        assert {r.g: r["mean"] for r in stats.describe(df, ["x"], ["g"]).collect()} == want
+    odd = [(0, 1e25), (0, 3e25), (1, 9e19), (1, 9e19), (2, float("inf")), (2, 1.0), (3, None), (4, -0.5), (4, -0.500001), (5, float("nan")), (None, 2.0)]
+    got = {r.g: r["mean"] for r in stats.describe(spark.createDataFrame(odd, "g int, x double"), ["x"], ["g"]).collect()}
+    assert np.isnan(got.pop(5))
+    assert got == {0: 2e25, 1: 9e19, 2: float("inf"), 3: None, 4: -0.500001, None: 2.0}
+
+
 def test_forest_walk_equals_the_expression(spark):
     rng = np.random.default_rng(2)
     nodes = more.forest_nodes(100)
