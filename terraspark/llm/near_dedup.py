@@ -297,7 +297,9 @@ class _Search:
                 apart = part.groupBy("path", "node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
                 part = T.written(part.join(apart.select("path", "node"), ["path", "node"], "left_semi"), f"apart-{level}")
             # Signatures say which rows can be linked at all; the sets of these alone are sent.
-            pools = T.parts_for(part.count(), NEAR_ROWS)
+            if not (count := part.count()):
+                return
+            pools = T.parts_for(count, NEAR_ROWS)
             rows = part.withColumn("group", F.pmod(F.xxhash64("path", "node"), F.lit(pools))).join(self.full, "id")
             rows = rows.select("group", "path", "node", "id", "side", "component", "n_shingles", "sig")
             part = T.written(rows.groupBy("group").applyInArrow(_near_in_nodes, _NEAR), f"near-{level}")
